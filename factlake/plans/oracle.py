@@ -184,3 +184,149 @@ SQL.update({
     "text_chunks": (f"SELECT doc_id, pos AS chunk_id, chunk, CAST(length(chunk) AS BIGINT) AS n_chars FROM ("
                     + long_form("documents", chunks("text"), "chunk") + ")"),
 })
+
+
+# ---------------------------------------------------------------- labels, evaluation, preparation
+def in_list(x: str, values) -> str:
+    return f"{x} IN (" + ", ".join(q(v) for v in values) + ")"
+
+
+def norm_label(x: str) -> str:
+    return f"lower({strip(f'CAST({x} AS VARCHAR)')})"
+
+
+def gold_label(x: str) -> str:
+    s = norm_label(x)
+    v = f"try_cast({s} AS DOUBLE)"
+    fin = f"({v} IS NOT NULL AND NOT isnan({v}) AND NOT isinf({v}))"
+    return (f"CASE WHEN {x} IS NULL THEN NULL "
+            f"WHEN {in_list(s, vocab.GOLD_FACTUAL)} THEN 'factual' "
+            f"WHEN {in_list(s, vocab.GOLD_NON_FACTUAL)} THEN 'non-factual' "
+            f"WHEN {fin} AND {v} >= 1.0 AND {v} < 2.0 THEN 'factual' "
+            f"WHEN {fin} THEN 'non-factual' END")
+
+
+def three_class(x: str) -> str:
+    s = norm_label(x)
+    return (f"CASE WHEN {x} IS NULL THEN 'non-factual' "
+            f"WHEN {in_list(s, vocab.THREE_CLASS_NON_FACTUAL)} THEN 'non-factual' "
+            f"WHEN {in_list(s, vocab.THREE_CLASS_NON_IMPORTANT)} THEN 'factual-non-important' "
+            f"ELSE 'factual-checkworthy' END")
+
+
+def binary_label(x: str) -> str:
+    s = f"coalesce({norm_label(x)}, 'none')"
+    return (f"CASE WHEN {in_list(s, vocab.BINARY_POSITIVE)} THEN 1 "
+            f"WHEN {in_list(s, vocab.BINARY_NEGATIVE)} THEN 0 "
+            f"WHEN contains({s}, 'fact') AND NOT contains({s}, 'non') THEN 1 ELSE 0 END")
+
+
+RAW_LABELS = """(SELECT 'event_type' AS source, event_type AS raw FROM events
+ UNION ALL SELECT 'value', CAST(CAST(floor(value) - 1 AS BIGINT) AS VARCHAR) FROM events
+ UNION ALL SELECT 'quality', CAST(quality AS VARCHAR) FROM labels
+ UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR) FROM labels)"""
+
+GOLD_PRED = f"(SELECT {gold_label('CAST(quality AS VARCHAR)')} AS gold, {gold_label('CAST(toxic AS VARCHAR)')} AS pred FROM labels)"
+EVAL_LABELS = ["factual", "non-factual"]
+LAB_VALUES = "(VALUES " + ", ".join(f"({q(v)}, {i})" for i, v in enumerate(EVAL_LABELS)) + ") AS lab(label, label_idx)"
+
+
+def _safe(label: str) -> str:
+    import re
+    return re.sub(r"\W+", "_", label).strip("_")
+
+
+CONF_COUNTS = (f"SELECT lab.label AS gold, CAST(lab.label_idx AS BIGINT) AS gold_idx, "
+               + ", ".join(f"CAST(count(g.pred) FILTER (WHERE g.pred = {q(v)}) AS BIGINT) AS pred_{_safe(v)}"
+                           for v in EVAL_LABELS)
+               + f" FROM {LAB_VALUES} LEFT JOIN {GOLD_PRED} g ON g.gold = lab.label GROUP BY ALL")
+
+_tot = " + ".join(f"pred_{_safe(v)}" for v in EVAL_LABELS)
+CONF_NORM = (f"SELECT gold, gold_idx, "
+             + ", ".join(f"CASE WHEN ({_tot}) = 0 THEN 0.0 ELSE round_even(pred_{_safe(v)} / ({_tot}), 3) END "
+                         f"AS pred_{_safe(v)}" for v in EVAL_LABELS)
+             + f" FROM ({CONF_COUNTS})")
+
+
+def per_class(labels_sql: str) -> str:
+    return f"""
+pc AS (SELECT gold, pred, count(*) AS n FROM {GOLD_PRED} GROUP BY ALL),
+lab AS {labels_sql},
+m AS (SELECT lab.label,
+        coalesce((SELECT sum(n) FROM pc WHERE pc.gold = lab.label AND pc.pred = lab.label), 0) AS tp,
+        coalesce((SELECT sum(n) FROM pc WHERE pc.gold = lab.label), 0) AS gold_n,
+        coalesce((SELECT sum(n) FROM pc WHERE pc.pred = lab.label), 0) AS pred_n FROM lab),
+m2 AS (SELECT *, CASE WHEN pred_n = 0 THEN 0.0 ELSE tp / pred_n END AS precision,
+              CASE WHEN gold_n = 0 THEN 0.0 ELSE tp / gold_n END AS recall FROM m),
+m3 AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0
+              ELSE 2 * precision * recall / (precision + recall) END AS f1,
+              CAST(gold_n AS BIGINT) AS support FROM m2)"""
+
+
+CLASS_REPORT = ("WITH " + per_class(f"(SELECT label FROM {LAB_VALUES})") + """
+SELECT label AS row_label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM m3
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m3
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m3
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+  CAST(sum(support) AS BIGINT) FROM m3""")
+
+MACRO = ("WITH " + per_class("(SELECT DISTINCT label FROM (SELECT gold AS label FROM pc UNION ALL "
+                             "SELECT pred FROM pc) WHERE label IS NOT NULL)") + """
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS macro_precision,
+       round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM m3""")
+
+BINARY = """WITH a AS (SELECT count(*) AS n, sum(CASE WHEN CAST(quality AS VARCHAR) = CAST(toxic AS VARCHAR) THEN 1 ELSE 0 END) AS ok,
+  sum(CASE WHEN CAST(quality AS VARCHAR) = '1' AND CAST(toxic AS VARCHAR) = '1' THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN CAST(toxic AS VARCHAR) = '1' THEN 1 ELSE 0 END) AS pp,
+  sum(CASE WHEN CAST(quality AS VARCHAR) = '1' THEN 1 ELSE 0 END) AS gp FROM labels),
+b AS (SELECT *, CASE WHEN pp = 0 THEN 0.0 ELSE tp / pp END AS precision, CASE WHEN gp = 0 THEN 0.0 ELSE tp / gp END AS recall FROM a)
+SELECT round(ok / n, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM b"""
+
+CLASS_TABLE = """(SELECT c.label, coalesce(k.n, 0) AS n FROM (SELECT CAST(range AS INTEGER) AS label FROM range(2)) c
+  LEFT JOIN (SELECT quality AS label, count(*) AS n FROM labels GROUP BY ALL) k USING (label))"""
+WEIGHTS_MEAN = f"""WITH t AS (SELECT label, n, (SELECT sum(n) FROM {CLASS_TABLE}) / (n + 1e-9) AS inv FROM {CLASS_TABLE})
+SELECT label, CAST(n AS BIGINT) AS n, round(inv / (SELECT avg(inv) FROM t), 6) AS weight FROM t"""
+WEIGHTS_SUM = f"""WITH t AS (SELECT label, n, 1.0 / greatest(n, 1) AS w FROM {CLASS_TABLE})
+SELECT label, CAST(n AS BIGINT) AS n, round(w / (SELECT sum(w) FROM t), 6) AS weight FROM t"""
+
+_RANKED = """WITH d AS (SELECT l.doc_id, l.quality AS label FROM labels l JOIN documents USING (doc_id)),
+r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk,
+             count(*) OVER (PARTITION BY label) AS n FROM d)"""
+SPLIT = _RANKED + """
+SELECT doc_id, label, CASE WHEN rk * 10 <= 8 * n THEN 'train' WHEN rk * 10 <= 9 * n THEN 'validation' ELSE 'test' END AS split FROM r"""
+CARVE = _RANKED + """
+SELECT doc_id, label, CASE WHEN rk <= n - floor((n * 1111 + 9999) / 10000) THEN 'train' ELSE 'validation' END AS split FROM r"""
+
+EARLY = """WITH e AS (SELECT event_type, event_id, value,
+   row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step,
+   max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb
+   FROM events),
+f AS (SELECT *, max(CASE WHEN pb IS NULL OR value > pb THEN step END)
+   OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM e)
+SELECT event_type, count(*) AS n_evals, CAST(min(CASE WHEN step - li >= 3 THEN step END) AS BIGINT) AS stop_step,
+       min(CASE WHEN step - li >= 3 THEN event_id END) AS stop_event_id FROM f GROUP BY event_type"""
+
+BEST = """SELECT event_type, first(event_id ORDER BY value DESC, event_id) AS best_event_id, max(value) AS best_value
+FROM events GROUP BY event_type"""
+
+SQL.update({
+    "normalize_gold": f"SELECT source, raw, {gold_label('raw')} AS gold, count(*) AS n FROM {RAW_LABELS} GROUP BY ALL",
+    "normalize_3class": (f"SELECT source, raw, label3, CAST(CASE label3 " +
+                         " ".join(f"WHEN {q(v)} THEN {i}" for i, v in enumerate(vocab.THREE_CLASS_LABELS)) +
+                         f" END AS BIGINT) AS label_id, count(*) AS n FROM (SELECT source, raw, {three_class('raw')} AS label3 "
+                         f"FROM {RAW_LABELS}) GROUP BY ALL"),
+    "normalize_binary": f"SELECT source, raw, CAST({binary_label('raw')} AS BIGINT) AS label2, count(*) AS n FROM {RAW_LABELS} GROUP BY ALL",
+    "confusion_counts": CONF_COUNTS,
+    "confusion_normalized": CONF_NORM,
+    "class_report": CLASS_REPORT,
+    "macro_metrics": MACRO,
+    "binary_metrics": BINARY,
+    "class_weights_mean": WEIGHTS_MEAN,
+    "class_weights_sum": WEIGHTS_SUM,
+    "stratified_split": SPLIT,
+    "stratified_carveout": CARVE,
+    "early_stop": EARLY,
+    "best_checkpoint": BEST,
+})

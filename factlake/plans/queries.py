@@ -76,3 +76,114 @@ QUERIES.update({
     "page_paragraphs": page_paragraphs,
     "text_chunks": text_chunks,
 })
+
+
+# ---------------------------------------------------------------- labels, evaluation, preparation
+from factlake.functions import labels as L  # noqa: E402
+from factlake.operators import evaluate, prepare  # noqa: E402
+
+EVAL_LABELS = ["factual", "non-factual"]
+
+
+def _raw_labels(spark, sf):
+    ev = table(spark, sf, "events")
+    lab = table(spark, sf, "labels")
+    return (ev.select(F.lit("event_type").alias("source"), F.col("event_type").alias("raw"))
+              .unionByName(ev.select(F.lit("value").alias("source"),
+                                     (F.floor("value") - 1).cast("bigint").cast("string").alias("raw")))
+              .unionByName(lab.select(F.lit("quality").alias("source"), F.col("quality").cast("string").alias("raw")))
+              .unionByName(lab.select(F.lit("toxic").alias("source"), F.col("toxic").cast("string").alias("raw"))))
+
+
+def normalize_gold(spark, sf):
+    r = _raw_labels(spark, sf).withColumn("gold", L.gold_label("raw"))
+    return r.groupBy("source", "raw", "gold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalize_3class(spark, sf):
+    r = _raw_labels(spark, sf).withColumn("label3", L.three_class_label("raw"))
+    r = r.withColumn("label_id", L.class_id("label3").cast("bigint"))
+    return r.groupBy("source", "raw", "label3", "label_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalize_binary(spark, sf):
+    r = _raw_labels(spark, sf).withColumn("label2", L.binary_label("raw").cast("bigint"))
+    return r.groupBy("source", "raw", "label2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _gold_pred(spark, sf):
+    lab = table(spark, sf, "labels")
+    return lab.select(L.gold_label(F.col("quality").cast("string")).alias("gold"),
+                      L.gold_label(F.col("toxic").cast("string")).alias("pred"))
+
+
+def confusion_counts(spark, sf):
+    return evaluate.confusion_counts(_gold_pred(spark, sf), EVAL_LABELS)
+
+
+def confusion_normalized(spark, sf):
+    return evaluate.confusion_normalized(_gold_pred(spark, sf), EVAL_LABELS)
+
+
+def class_report(spark, sf):
+    return evaluate.class_report(_gold_pred(spark, sf), EVAL_LABELS)
+
+
+def macro_metrics(spark, sf):
+    return evaluate.macro_metrics(_gold_pred(spark, sf))
+
+
+def binary_metrics(spark, sf):
+    lab = table(spark, sf, "labels")
+    return evaluate.binary_metrics(lab, 1, gold="quality", pred="toxic")
+
+
+def class_weights_mean(spark, sf):
+    return prepare.class_weights_mean(table(spark, sf, "labels"), "quality", num_labels=2)
+
+
+def class_weights_sum(spark, sf):
+    return prepare.class_weights_sum(table(spark, sf, "labels"), "quality", num_labels=2)
+
+
+def _labelled_docs(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return lab.join(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+def stratified_split(spark, sf):
+    s = prepare.stratified_split(_labelled_docs(spark, sf), "label", "doc_id", seed=42)
+    return s.select("doc_id", "label", "split")
+
+
+def stratified_carveout(spark, sf):
+    s = prepare.stratified_carveout(_labelled_docs(spark, sf), "label", "doc_id", seed=42)
+    return s.select("doc_id", "label", "split")
+
+
+def early_stop(spark, sf):
+    e = prepare.early_stop(table(spark, sf, "events"), "event_type", "event_id", "value", patience=3)
+    return e.withColumnRenamed("stop_order", "stop_event_id")
+
+
+def best_checkpoint(spark, sf):
+    b = prepare.best_checkpoint(table(spark, sf, "events"), "event_type", "event_id", "value")
+    return b.withColumnRenamed("best_order", "best_event_id")
+
+
+QUERIES.update({
+    "normalize_gold": normalize_gold,
+    "normalize_3class": normalize_3class,
+    "normalize_binary": normalize_binary,
+    "confusion_counts": confusion_counts,
+    "confusion_normalized": confusion_normalized,
+    "class_report": class_report,
+    "macro_metrics": macro_metrics,
+    "binary_metrics": binary_metrics,
+    "class_weights_mean": class_weights_mean,
+    "class_weights_sum": class_weights_sum,
+    "stratified_split": stratified_split,
+    "stratified_carveout": stratified_carveout,
+    "early_stop": early_stop,
+    "best_checkpoint": best_checkpoint,
+})
