@@ -39,19 +39,20 @@ def rule_label(x) -> Column:
     return F.when(c.rlike(r"\d"), F.lit(FACTUAL)).otherwise(F.lit(NON_FACTUAL))
 
 
-def factual_share(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
+def factual_share(docs: DataFrame, text_col: str = "text", key="doc_id",
                   label_fn=rule_label, keep_separators: bool = True) -> DataFrame:
     """Share of clause segments labelled factual per text; 0.0 for a
     text without segments; NULL for every text when no classifier is given
     (M08).  Segments are counted inside each row: no shuffle."""
+    keys = [key] if isinstance(key, str) else list(key)
     parts = T.clause_split(text_col, keep_separators)
     if label_fn is None:
-        return docs.select(key, F.size(parts).cast("bigint").alias("n_segments"),
+        return docs.select(*keys, F.size(parts).cast("bigint").alias("n_segments"),
                            F.lit(None).cast("bigint").alias("n_factual"),
                            F.lit(None).cast("double").alias("factual_share"))
     labels = F.transform(parts, lambda p: label_fn(p))
     n_fact = F.size(F.filter(labels, lambda l: F.lower(l) == FACTUAL))
-    d = docs.select(key, F.size(parts).cast("bigint").alias("n_segments"), n_fact.cast("bigint").alias("n_factual"))
+    d = docs.select(*keys, F.size(parts).cast("bigint").alias("n_segments"), n_fact.cast("bigint").alias("n_factual"))
     return d.withColumn("factual_share", F.when(F.col("n_segments") == 0, F.lit(0.0))
                         .otherwise(F.col("n_factual") / F.col("n_segments")))
 

@@ -330,3 +330,161 @@ SQL.update({
     "early_stop": EARLY,
     "best_checkpoint": BEST,
 })
+
+
+# ---------------------------------------------------------------- keywords and scoreboard
+def bucket(x: str) -> str:
+    return f"(('0x' || substr(md5({x}), 1, 8))::BIGINT % 64)"
+
+
+def embed_kw_sql(src: str, keys: list, text: str, n_max: int, top_n: int, stop_lang: str = "english") -> str:
+    """Self-contained subquery ``<keys..., rank, keyword, score>``."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"gb.{c} = dv.{c}" for c in keys)
+    grams = ", ".join(f"list_transform(range(0, len(ft) - {n} + 1), lambda i: ft[i + 1:i + {n}])"
+                      for n in range(1, n_max + 1))
+    return f"""(WITH tk AS (SELECT {k}, {tokens(text)} AS toks FROM {src}),
+dv AS (SELECT {k}, {bucket('t')} AS b, count(*) AS dv FROM (SELECT {k}, unnest(toks) AS t FROM tk) GROUP BY ALL),
+dn AS (SELECT {k}, sqrt(sum(dv * dv)) AS dnorm FROM dv GROUP BY ALL),
+ft AS (SELECT {k}, {no_stop('toks', stop_lang)} AS ft FROM tk),
+gr AS (SELECT DISTINCT {k}, g FROM (SELECT {k}, unnest(flatten([{grams}])) AS g FROM ft)),
+gb AS (SELECT {k}, gram, {bucket('t')} AS b, count(*) AS cv
+       FROM (SELECT {k}, array_to_string(g, ' ') AS gram, unnest(g) AS t FROM gr) GROUP BY ALL),
+sc AS (SELECT {", ".join("gb." + c for c in keys)}, gram, sum(cv * coalesce(dv.dv, 0)) AS dot, sum(cv * cv) AS cn
+       FROM gb LEFT JOIN dv ON {on} AND gb.b = dv.b GROUP BY ALL),
+rk AS (SELECT sc.*, round(dot / (sqrt(cn) * dnorm), 6) AS score FROM sc JOIN dn USING ({k})),
+rn AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, gram) AS rank FROM rk)
+SELECT {k}, CAST(rank AS BIGINT) AS rank, gram AS keyword, score FROM rn WHERE rank <= {top_n})"""
+
+
+def share(x: str) -> str:
+    p = clause_parts(x)
+    return (f"(SELECT CASE WHEN len(_p) = 0 THEN 0.0 ELSE len(list_filter(_p, lambda z: regexp_matches(z, '\\d'))) "
+            f"/ len(_p) END FROM (SELECT {p} AS _p))")
+
+
+def jaccard(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / greatest(len(list_distinct(list_concat({a}, {b}))), 1)"
+
+
+def board_ctes() -> str:
+    """CTEs ending in ``board`` (the scoreboard) and ``pr``/``sim``."""
+    return tfidf_summary_ctes() + f""",
+sm AS (SELECT 'lead-3' AS modelo, 0 AS method_idx, doc_id, array_to_string(sents[1:3], ' ') AS summary FROM d
+       UNION ALL SELECT 'tfidf-top5', 1, doc_id, summary FROM ts
+       UNION ALL SELECT '''que''', 2, doc_id, array_to_string({after_que_parts('text')}, ' ') FROM documents),
+pr AS (SELECT sm.modelo, sm.method_idx, sm.doc_id, sm.summary, documents.text AS original
+       FROM sm JOIN documents USING (doc_id)),
+ca AS (SELECT modelo, doc_id, term, count(*) AS a
+       FROM (SELECT modelo, doc_id, unnest({no_stop(tokens('original'))}) AS term FROM pr) GROUP BY ALL),
+cb AS (SELECT modelo, doc_id, term, count(*) AS b
+       FROM (SELECT modelo, doc_id, unnest({no_stop(tokens('summary'))}) AS term FROM pr) GROUP BY ALL),
+cj AS (SELECT coalesce(ca.modelo, cb.modelo) AS modelo, coalesce(ca.doc_id, cb.doc_id) AS doc_id,
+              coalesce(ca.a, 0) AS a, coalesce(cb.b, 0) AS b
+       FROM ca FULL OUTER JOIN cb ON ca.modelo = cb.modelo AND ca.doc_id = cb.doc_id AND ca.term = cb.term),
+cs AS (SELECT modelo, doc_id, sum(a * b * f * f) AS dot, sum(a * a * f * f) AS na, sum(b * b * f * f) AS nb
+       FROM (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 1.0 ELSE ln(1.5) + 1.0 END AS f FROM cj) GROUP BY ALL),
+sim AS (SELECT modelo, doc_id,
+               round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE dot / (sqrt(na) * sqrt(nb)) END, 6) AS sim_tfidf FROM cs),
+ko AS (SELECT doc_id, list_distinct(list(lower(keyword))) AS kw_o
+       FROM {embed_kw_sql('documents', ['doc_id'], 'text', 1, 5)} GROUP BY ALL),
+ks AS (SELECT modelo, doc_id, list_distinct(list(lower(keyword))) AS kw_s
+       FROM {embed_kw_sql('pr', ['modelo', 'doc_id'], 'summary', 1, 5)} GROUP BY ALL),
+board AS (
+  SELECT pr.modelo, pr.doc_id AS idx_texto, pr.method_idx, CAST(0.0 AS DOUBLE) AS tempo_s,
+         round(length(pr.summary) / greatest(length(pr.original), 1), 6) AS compression_ratio,
+         sim.sim_tfidf,
+         round({jaccard('coalesce(ko.kw_o, [])', 'coalesce(ks.kw_s, [])')}, 6) AS jaccard_kw,
+         round({share('pr.summary')}, 6) AS factual_share,
+         CAST(length(pr.summary) AS BIGINT) AS len_texto
+  FROM pr LEFT JOIN sim USING (modelo, doc_id) LEFT JOIN ko USING (doc_id) LEFT JOIN ks USING (modelo, doc_id)
+  UNION ALL
+  SELECT 'Original', doc_id, -1, CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(1.0 AS DOUBLE), round({share('text')}, 6), CAST(length(text) AS BIGINT)
+  FROM documents)"""
+
+
+BOARD_COLS = "modelo, idx_texto, tempo_s, compression_ratio, sim_tfidf, jaccard_kw, factual_share, len_texto"
+BY_MODEL = """SELECT modelo, round(avg(tempo_s), 6) AS tempo_medio_s, round(avg(compression_ratio), 6) AS compression_ratio_medio,
+  round(avg(sim_tfidf), 6) AS sim_tfidf_medio, round(avg(jaccard_kw), 6) AS jaccard_kw_medio,
+  round(avg(factual_share), 6) AS factual_share_medio FROM board GROUP BY modelo"""
+RADAR_COLS = ["sim_tfidf_medio", "jaccard_kw_medio", "factual_share_medio", "compression_ratio_medio", "tempo_medio_s"]
+
+
+def radar_sql(variant: str, where: str) -> str:
+    cols = []
+    for c in RADAR_COLS:
+        s = f"({c} - (SELECT min({c}) FROM a{variant})) / ((SELECT max({c}) FROM a{variant}) - (SELECT min({c}) FROM a{variant}) + 1e-9)"
+        cols.append(f"round({'1 - ' if c == 'tempo_medio_s' else ''}{s}, 6) AS {c}")
+    return f"SELECT '{variant}' AS variant, modelo, {', '.join(cols)} FROM a{variant}"
+
+
+METRICS = ["tempo_s", "compression_ratio", "sim_tfidf", "jaccard_kw", "factual_share"]
+PER_TEXT = ("SELECT idx_texto, modelo, CAST(CASE WHEN modelo = 'Original' THEN 0 ELSE method_idx + 1 END AS BIGINT) AS model_order, "
+            "metric, value FROM (SELECT idx_texto, modelo, method_idx, unnest([" +
+            ", ".join(f"{{'metric': '{m}', 'value': CAST({m} AS DOUBLE)}}" for m in ["len_texto"] + METRICS) +
+            "], recursive := true) FROM board)")
+BOX = f"""v AS (SELECT modelo, metric, value FROM ({PER_TEXT}) WHERE metric <> 'len_texto' AND value IS NOT NULL),
+bs AS (SELECT modelo, metric, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.25) AS q1,
+              quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY ALL),
+bx AS (SELECT bs.modelo, bs.metric, max(v.value) FILTER (WHERE v.value <= bs.q3 + 1.5 * (bs.q3 - bs.q1)) AS mhi,
+              min(v.value) FILTER (WHERE v.value >= bs.q1 - 1.5 * (bs.q3 - bs.q1)) AS mlo
+       FROM bs JOIN v USING (modelo, metric) GROUP BY bs.modelo, bs.metric),
+bw AS (SELECT bs.*, coalesce(greatest(bx.mhi, bs.q3), bs.q3) AS whishi, coalesce(least(bx.mlo, bs.q1), bs.q1) AS whislo
+       FROM bs JOIN bx USING (modelo, metric)),
+bo AS (SELECT bw.modelo, bw.metric, count(*) FILTER (WHERE v.value < bw.whislo OR v.value > bw.whishi) AS n_outliers
+       FROM bw JOIN v USING (modelo, metric) GROUP BY ALL)
+SELECT modelo, metric, n, round(mean, 6) AS mean, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+       round(whislo, 6) AS whislo, round(whishi, 6) AS whishi, CAST(n_outliers AS BIGINT) AS n_outliers
+FROM bw JOIN bo USING (modelo, metric)"""
+
+WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
+FREQ_KW = f"""WITH w AS (SELECT doc_id, CAST(generate_subscripts(_w, 1) - 1 AS BIGINT) AS pos, lower(unnest(_w)) AS term
+  FROM (SELECT doc_id, regexp_extract_all(text, {q(WORDS)}) AS _w FROM documents)),
+f AS (SELECT doc_id, term, count(*) AS cnt, min(pos) AS first_pos FROM w
+      WHERE regexp_full_match(term, '\\p{{L}}+') AND NOT list_contains({stop_list()}, term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, first_pos) AS rank FROM f)
+SELECT doc_id, CAST(rank AS BIGINT) AS rank, term, cnt FROM r WHERE rank <= 10"""
+
+TFIDF_KW = f"""WITH t AS (SELECT doc_id, unnest({no_stop(tokens('text'))}) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT *, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s)
+SELECT doc_id, CAST(rank AS BIGINT) AS rank, term, score FROM r WHERE rank <= 10"""
+
+
+def keyword_set(x: str) -> str:
+    return (f"list_distinct(list_filter(list_transform(string_split_regex(coalesce({x}, ''), '[;,|/\\n]+'), "
+            f"lambda p: lower({strip('p')})), lambda p: p <> ''))")
+
+
+KW_JACCARD = ("WITH " + board_ctes() + f""",
+hk AS (SELECT item_id AS doc_id, {keyword_set('text')} AS kw FROM benchmark
+       WHERE item_id IN (SELECT item_id FROM benchmark GROUP BY item_id HAVING count(*) = 1)),
+kr AS (SELECT modelo, doc_id, list_distinct(list(lower(keyword))) AS kw
+       FROM {embed_kw_sql('pr', ['modelo', 'doc_id'], 'summary', 3, 10)} GROUP BY ALL),
+j AS (SELECT pr.modelo, pr.doc_id, coalesce(hk.kw, []) AS ko, coalesce(kr.kw, []) AS kr
+      FROM pr LEFT JOIN hk USING (doc_id) LEFT JOIN kr USING (modelo, doc_id))
+SELECT modelo, doc_id AS idx_texto, round({jaccard('ko', 'kr')}, 6) AS jaccard_kw,
+       coalesce(array_to_string(list_sort(ko), '; '), '') AS kw_orig,
+       coalesce(array_to_string(list_sort(kr), '; '), '') AS kw_resumo FROM j""")
+
+SQL.update({
+    "freq_keywords": FREQ_KW,
+    "tfidf_keywords": TFIDF_KW,
+    "ngram_keywords": "SELECT * FROM " + embed_kw_sql("documents", ["doc_id"], "text", 3, 10),
+    "doc_summary_cosine": "WITH " + board_ctes() + "\nSELECT pr.modelo, pr.doc_id, sim.sim_tfidf AS cosine FROM pr LEFT JOIN sim USING (modelo, doc_id)",
+    "keyword_jaccard": KW_JACCARD,
+    "scoreboard": "WITH " + board_ctes() + f"\nSELECT {BOARD_COLS} FROM board",
+    "scoreboard_by_model": "WITH " + board_ctes() + "\n" + BY_MODEL,
+    "radar": ("WITH " + board_ctes() + f",\nawith_baseline AS ({BY_MODEL}),\namodels AS (SELECT * FROM awith_baseline WHERE modelo <> 'Original')\n"
+              + radar_sql("with_baseline", "") + "\nUNION ALL\n" + radar_sql("models", "")),
+    "boxplot_stats": "WITH " + board_ctes() + ",\n" + BOX,
+    "per_text_compare": "WITH " + board_ctes() + "\n" + PER_TEXT,
+    "tradeoff": ("WITH " + board_ctes() + "\nSELECT 'sim_tfidf_vs_compression_ratio' AS pair, modelo, idx_texto, compression_ratio AS x, sim_tfidf AS y FROM board"
+                 "\nUNION ALL SELECT 'sim_tfidf_vs_tempo_s', modelo, idx_texto, tempo_s, sim_tfidf FROM board"),
+    "factual_share": f"SELECT doc_id, CAST(len({clause_parts('text')}) AS BIGINT) AS n_segments, "
+                     f"CAST(len(list_filter({clause_parts('text')}, lambda z: regexp_matches(z, '\\d'))) AS BIGINT) AS n_factual, "
+                     f"{share('text')} AS factual_share FROM documents",
+    "factual_segments": f"SELECT doc_id, CAST(len(_f) AS BIGINT) AS n_factual, array_to_string(_f, ' | ') AS factual_text "
+                        f"FROM (SELECT doc_id, list_filter({clause_parts('text')}, lambda z: regexp_matches(z, '\\d')) AS _f FROM documents)",
+})

@@ -187,3 +187,101 @@ QUERIES.update({
     "early_stop": early_stop,
     "best_checkpoint": best_checkpoint,
 })
+
+
+# ---------------------------------------------------------------- keywords and scoreboard
+from factlake.operators import keywords, scoreboard  # noqa: E402
+
+
+def freq_keywords(spark, sf):
+    return keywords.freq_keywords(_docs(spark, sf), vocab.stop_words("portuguese"), 10)
+
+
+def tfidf_keywords(spark, sf):
+    return tfidf.tfidf_keywords(by_doc(_docs(spark, sf)), list(vocab.stop_words("portuguese")), 10)
+
+
+def ngram_keywords(spark, sf):
+    return keywords.embed_keywords(_docs(spark, sf), ["doc_id"], list(vocab.stop_words("english")),
+                                   n_max=3, top_n=10)
+
+
+def _board(spark, sf):
+    d = _docs(spark, sf)
+    return scoreboard.scoreboard(d, scoreboard.method_summaries(d))
+
+
+def doc_summary_cosine(spark, sf):
+    d = _docs(spark, sf)
+    pairs = by_doc(scoreboard.method_summaries(d).join(d.withColumnRenamed("text", "original"), "doc_id"))
+    return tfidf.pair_cosine(pairs, ["modelo", "doc_id"], "original", "summary",
+                             list(vocab.stop_words("portuguese")), "cosine")
+
+
+def keyword_jaccard(spark, sf):
+    """C08 with human keywords: keyword cells of ``benchmark`` (keyed by
+    item_id = doc_id; duplicate keys -> empty set) against the top-10
+    1-3-gram keywords of each summary."""
+    d = _docs(spark, sf)
+    summ = scoreboard.method_summaries(d)
+    bench = table(spark, sf, "benchmark")
+    uniq = bench.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    human = bench.join(uniq, "item_id").select(F.col("item_id").alias("doc_id"), T.keyword_set("text").alias("ko"))
+    kr = keywords.keyword_sets(keywords.embed_keywords(summ, ["modelo", "doc_id"], list(vocab.stop_words("english")),
+                                                       3, 10, "summary"), ["modelo", "doc_id"], "kr")
+    empty = F.array().cast("array<string>")
+    j = (summ.select("modelo", "doc_id").join(human, "doc_id", "left").join(kr, ["modelo", "doc_id"], "left")
+             .select("modelo", "doc_id", F.coalesce("ko", empty).alias("ko"), F.coalesce("kr", empty).alias("kr")))
+    return j.select("modelo", F.col("doc_id").alias("idx_texto"), F.round(T.jaccard("ko", "kr"), 6).alias("jaccard_kw"),
+                    T.sorted_join("ko").alias("kw_orig"), T.sorted_join("kr").alias("kw_resumo"))
+
+
+def scoreboard_q(spark, sf):
+    return _board(spark, sf).drop("method_idx")
+
+
+def scoreboard_by_model(spark, sf):
+    return scoreboard.by_model(_board(spark, sf))
+
+
+def radar(spark, sf):
+    agg = scoreboard.by_model(_board(spark, sf))
+    return scoreboard.radar(agg, True).unionByName(scoreboard.radar(agg, False))
+
+
+def per_text_compare(spark, sf):
+    return scoreboard.per_text_compare(_board(spark, sf))
+
+
+def boxplot_stats(spark, sf):
+    long = scoreboard.per_text_compare(_board(spark, sf)).where(F.col("metric") != "len_texto")
+    return scoreboard.box_stats(long, ["modelo", "metric"])
+
+
+def tradeoff(spark, sf):
+    return scoreboard.tradeoff(_board(spark, sf))
+
+
+def factual_share(spark, sf):
+    return segment.factual_share(_docs(spark, sf))
+
+
+def factual_segments(spark, sf):
+    return segment.factual_segments(_docs(spark, sf))
+
+
+QUERIES.update({
+    "freq_keywords": freq_keywords,
+    "tfidf_keywords": tfidf_keywords,
+    "ngram_keywords": ngram_keywords,
+    "doc_summary_cosine": doc_summary_cosine,
+    "keyword_jaccard": keyword_jaccard,
+    "scoreboard": scoreboard_q,
+    "scoreboard_by_model": scoreboard_by_model,
+    "radar": radar,
+    "boxplot_stats": boxplot_stats,
+    "per_text_compare": per_text_compare,
+    "tradeoff": tradeoff,
+    "factual_share": factual_share,
+    "factual_segments": factual_segments,
+})
