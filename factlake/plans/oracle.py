@@ -488,3 +488,73 @@ SQL.update({
     "factual_segments": f"SELECT doc_id, CAST(len(_f) AS BIGINT) AS n_factual, array_to_string(_f, ' | ') AS factual_text "
                         f"FROM (SELECT doc_id, list_filter({clause_parts('text')}, lambda z: regexp_matches(z, '\\d')) AS _f FROM documents)",
 })
+
+
+# ---------------------------------------------------------------- similarity, word pieces, tagger
+SIM_SEG = """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v,
+   lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS nx,
+   row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings),
+s AS (SELECT *, list_dot_product(v, nx) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(nx, nx))) AS sim FROM e),
+t AS (SELECT label, avg(sim) - stddev_pop(sim) AS thr FROM s GROUP BY label),
+f AS (SELECT s.*, coalesce(CAST(sim < thr AS BIGINT), 0) AS brk FROM s JOIN t USING (label))
+SELECT label, vec_id, CAST(pos AS BIGINT) AS pos, round(sim, 6) AS sim,
+  CAST(sum(brk) OVER (PARTITION BY label ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - brk AS BIGINT) AS segment FROM f"""
+
+WORDPIECE = f"""WITH p AS (SELECT doc_id, CAST(generate_subscripts(_w, 1) - 1 AS BIGINT) AS pos, unnest(_w) AS tok
+  FROM (SELECT doc_id, regexp_extract_all(text, {q(WORDS)}) AS _w FROM documents)),
+g AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 2 THEN '##' || tok ELSE tok END AS piece FROM p),
+h AS (SELECT *, (NOT starts_with(piece, '##') OR pos = 0) AS st FROM g),
+k AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM h),
+w AS (SELECT doc_id, grp, string_agg(CASE WHEN st THEN piece ELSE substr(piece, 3) END, '' ORDER BY pos) AS word FROM k GROUP BY ALL)
+SELECT doc_id, count(*) AS n_words, string_agg(word, ' ' ORDER BY grp) AS text FROM w GROUP BY doc_id"""
+
+
+def tagger_ctes() -> str:
+    st = stop_list()
+    return f"""
+sd AS (SELECT doc_id, unnest(sents) AS sentence, CAST(generate_subscripts(sents, 1) - 1 AS BIGINT) AS sid
+       FROM (SELECT doc_id, {sentences('text')} AS sents FROM documents)),
+tk AS (SELECT doc_id, sid, CAST(generate_subscripts(_w, 1) - 1 AS BIGINT) AS pos, unnest(_w) AS word
+       FROM (SELECT doc_id, sid, regexp_extract_all(sentence, {q(WORDS)}) AS _w FROM sd)),
+gt AS (SELECT *, CASE WHEN regexp_full_match(word, '\\p{{N}}+') THEN 'NUM'
+                      WHEN NOT regexp_matches(word, '[\\p{{L}}\\p{{N}}_]') THEN 'PU'
+                      WHEN list_contains({st}, lower(word)) THEN 'ART'
+                      WHEN regexp_matches(word, 'mente$') THEN 'ADV'
+                      WHEN regexp_matches(word, '(ar|er|ir)$') THEN 'V'
+                      WHEN regexp_matches(word, '(al|vel|oso|osa|ivo|iva)$') THEN 'ADJ'
+                      WHEN pos > 0 AND regexp_matches(word, '^\\p{{Lu}}') THEN 'NPROP'
+                      ELSE 'N' END AS tag FROM tk),
+uc AS (SELECT word, tag, count(*) AS n FROM gt GROUP BY ALL),
+uni AS (SELECT word, tag, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, tag) AS r FROM uc) WHERE r = 1),
+cx AS (SELECT gt.*, coalesce(lag(tag) OVER (PARTITION BY doc_id, sid ORDER BY pos), '<S>') AS prev_tag FROM gt),
+us AS (SELECT cx.prev_tag, cx.word FROM cx LEFT JOIN uni ON uni.word = cx.word GROUP BY cx.prev_tag, cx.word
+       HAVING max(CASE WHEN cx.tag <> coalesce(uni.tag, '') THEN 1 ELSE 0 END) = 1),
+bc AS (SELECT prev_tag, word, tag, count(*) AS n FROM cx GROUP BY ALL),
+bi AS (SELECT prev_tag, word, tag, n FROM (SELECT bc.*, row_number() OVER (PARTITION BY bc.prev_tag, bc.word ORDER BY n DESC, tag) AS r
+       FROM bc JOIN us USING (prev_tag, word)) WHERE r = 1),
+bm AS (SELECT word, map_from_entries(list({{'k': prev_tag, 'v': tag}})) AS m FROM bi GROUP BY word),
+tm AS (SELECT tk.doc_id, tk.sid, tk.pos, tk.word, uni.tag AS utag, bm.m AS bmap
+       FROM tk LEFT JOIN uni USING (word) LEFT JOIN bm USING (word)),
+ts AS (SELECT doc_id, sid, count(*) AS n_tokens, list(word ORDER BY pos) AS words,
+              list({{'utag': utag, 'bmap': bmap}} ORDER BY pos) AS xs FROM tm GROUP BY ALL),
+tg AS (SELECT doc_id, sid, n_tokens, words, ltrim(list_reduce(xs, lambda acc, x: acc || ' ' || coalesce(coalesce(
+          x.bmap[CASE WHEN acc = '' OR regexp_extract(acc, '(\\S+)$', 1) = '-' THEN '<S>'
+                      ELSE regexp_extract(acc, '(\\S+)$', 1) END], x.utag), '-'), ''), ' ') AS tags FROM ts)"""
+
+
+NOUN_PHRASES = "WITH " + tagger_ctes() + f""",
+tt AS (SELECT doc_id, sid, CAST(generate_subscripts(words, 1) - 1 AS BIGINT) AS pos, unnest(words) AS word,
+              unnest(string_split(tags, ' ')) AS tag FROM tg),
+np AS (SELECT *, coalesce(tag IN ('N', 'NPROP', 'ADJ') AND NOT list_contains({stop_list()}, lower(word)), false) AS inside FROM tt),
+il AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sid ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM np)
+SELECT doc_id, sid, min(pos) AS start, string_agg(word, ' ' ORDER BY pos) AS phrase FROM il WHERE inside GROUP BY doc_id, sid, island"""
+
+SQL.update({
+    "similarity_segments": SIM_SEG,
+    "wordpiece_rejoin": WORDPIECE,
+    "pos_train": "WITH " + tagger_ctes() + "\nSELECT 'unigram' AS kind, CAST(NULL AS VARCHAR) AS prev_tag, word, tag, n FROM uni"
+                 "\nUNION ALL SELECT 'bigram', prev_tag, word, tag, n FROM bi",
+    "pos_tag": "WITH " + tagger_ctes() + "\nSELECT doc_id, sid, CAST(n_tokens AS BIGINT) AS n_tokens, tags FROM tg",
+    "noun_phrases": NOUN_PHRASES,
+})

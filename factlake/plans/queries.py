@@ -285,3 +285,61 @@ QUERIES.update({
     "factual_share": factual_share,
     "factual_segments": factual_segments,
 })
+
+
+# ---------------------------------------------------------------- similarity, word pieces, tagger
+from factlake.operators import tagger  # noqa: E402
+
+
+def similarity_segments(spark, sf):
+    return segment.similarity_segments(table(spark, sf, "embeddings"), "label", "vec_id", "embedding")
+
+
+def wordpiece_rejoin(spark, sf):
+    """W03 on word-piece streams derived from the documents: every third
+    token carries the continuation mark."""
+    d = by_doc(_docs(spark, sf))
+    p = d.select("doc_id", F.posexplode(T.word_tokens("text")).alias("pos", "tok"))
+    p = p.select("doc_id", "pos", F.when(F.col("pos") % 3 == 2, F.concat(F.lit("##"), "tok"))
+                 .otherwise(F.col("tok")).alias("piece"))
+    w = segment.wordpiece_rejoin(p, "doc_id", "pos", "piece")
+    return (w.groupBy("doc_id")
+             .agg(F.count(F.lit(1)).alias("n_words"),
+                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "word"))),
+                                           lambda s: s["word"]), " ").alias("text")))
+
+
+def _tagger(spark, sf):
+    stop = vocab.stop_words("portuguese")
+    toks = tagger.token_table(_docs(spark, sf))
+    gold = tagger.rule_tags(toks, stop)
+    uni, bi = tagger.train(gold, ["doc_id", "sid"])
+    return toks, uni, bi
+
+
+def pos_train(spark, sf):
+    _, uni, bi = _tagger(spark, sf)
+    return (uni.select(F.lit("unigram").alias("kind"), F.lit(None).cast("string").alias("prev_tag"), "word", "tag", "n")
+               .unionByName(bi.select(F.lit("bigram").alias("kind"), "prev_tag", "word", "tag", "n")))
+
+
+def pos_tag(spark, sf):
+    toks, uni, bi = _tagger(spark, sf)
+    s = tagger.tag_sentences(toks, uni, bi, ["doc_id", "sid"])
+    return s.select("doc_id", "sid", F.size("_toks").cast("bigint").alias("n_tokens"),
+                    F.array_join(F.transform("_tags", lambda t: F.coalesce(t, F.lit("-"))), " ").alias("tags"))
+
+
+def noun_phrases(spark, sf):
+    toks, uni, bi = _tagger(spark, sf)
+    tagged = tagger.tag(toks, uni, bi, ["doc_id", "sid"])
+    return keywords.noun_phrases(tagged, vocab.stop_words("portuguese"), ["doc_id", "sid"])
+
+
+QUERIES.update({
+    "similarity_segments": similarity_segments,
+    "wordpiece_rejoin": wordpiece_rejoin,
+    "pos_train": pos_train,
+    "pos_tag": pos_tag,
+    "noun_phrases": noun_phrases,
+})
