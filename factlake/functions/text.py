@@ -137,11 +137,18 @@ def list_cell_text(x) -> Column:
     return F.coalesce(F.array_join(parsed, " "), _c(x), F.lit(""))
 
 
+# escapes of a quoted list item, backslash first
+LITERAL_ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("'", "\\'")]
+
+
 def list_literal(arr) -> Column:
-    """Printable list literal ``['a', 'b']`` of a string array."""
-    quoted = F.transform(_c(arr), lambda s: F.concat(
-        F.lit("'"), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    """Printable list literal ``['a', 'b']`` of a string array (items
+    single-quoted, backslash, newline, return, tab and quote escaped)."""
+    def quote(s):
+        for a, b in LITERAL_ESCAPES:
+            s = F.replace(s, F.lit(a), F.lit(b))
+        return F.concat(F.lit("'"), s, F.lit("'"))
+    return F.concat(F.lit("["), F.array_join(F.transform(_c(arr), quote), ", "), F.lit("]"))
 
 
 def strip_brackets(x) -> Column:

@@ -558,3 +558,54 @@ SQL.update({
     "pos_tag": "WITH " + tagger_ctes() + "\nSELECT doc_id, sid, CAST(n_tokens AS BIGINT) AS n_tokens, tags FROM tg",
     "noun_phrases": NOUN_PHRASES,
 })
+
+
+# ---------------------------------------------------------------- cells, columns, translation
+INFER_COLS = {"documents": "text", "benchmark": "text", "conversations": "text", "pages": "url"}
+INFER = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS text_col, count(*) AS n_rows, "
+    f"sum(CASE WHEN length({strip(c)}) > 0 THEN 1 ELSE 0 END) AS n_nonblank, "
+    f"CAST(sum(length({c})) AS BIGINT) AS n_chars FROM {t}" for t, c in INFER_COLS.items())
+
+
+def list_literal(arr: str) -> str:
+    from factlake.functions.text import LITERAL_ESCAPES
+    item = "x"
+    for a, b in LITERAL_ESCAPES:
+        item = f"replace({item}, {q(a)}, {q(b)})"
+    return f"('[' || array_to_string(list_transform({arr}, lambda x: '''' || {item} || ''''), ', ') || ']')"
+
+
+CELLS = (f"(SELECT doc_id, lang, text, CASE WHEN lang = 'de' THEN NULL WHEN lang = 'es' THEN text "
+         f"ELSE {list_literal(after_que_parts('text'))} END AS cell, "
+         f"CASE WHEN lang NOT IN ('de', 'es') THEN array_to_string({after_que_parts('text')}, ' ') END AS joined FROM documents)")
+
+
+def first_nonblank(*cols) -> str:
+    return "coalesce(" + ", ".join(f"nullif({strip(c)}, '')" for c in cols) + ", '')"
+
+
+TRANSLATE = f"""WITH lx AS (SELECT DISTINCT unnest({tokens('text')}) AS src FROM benchmark),
+ch AS (SELECT doc_id, CAST(generate_subscripts(_c, 1) - 1 AS BIGINT) AS chunk_id, unnest(_c) AS chunk
+       FROM (SELECT doc_id, {chunks('text')} AS _c FROM documents)),
+pc AS (SELECT doc_id, chunk_id, CAST(generate_subscripts(_p, 1) - 1 AS BIGINT) AS pos, unnest(_p) AS piece
+       FROM (SELECT doc_id, chunk_id, string_split(chunk, ' ') AS _p FROM ch)),
+tr AS (SELECT pc.doc_id, pc.chunk_id, pc.pos, coalesce(reverse(lx.src), pc.piece) AS piece
+       FROM pc LEFT JOIN lx ON lower(pc.piece) = lx.src),
+cj AS (SELECT doc_id, chunk_id, string_agg(piece, ' ' ORDER BY pos) AS chunk FROM tr GROUP BY ALL),
+dj AS (SELECT doc_id, string_agg(chunk, ' ' ORDER BY chunk_id) AS t FROM cj GROUP BY ALL)
+SELECT documents.doc_id, {strip("coalesce(dj.t, '')")} AS text_pt FROM documents LEFT JOIN dj USING (doc_id)"""
+
+_PRIMARY = "CASE WHEN lang = 'en' THEN text END"
+_FALLBACK = "CASE WHEN lang <> 'de' THEN source END"
+COALESCE_TEXT = f"SELECT doc_id, {first_nonblank(_PRIMARY, _FALLBACK)} AS text FROM documents"
+_BRACKETS = r"regexp_replace(cell, '[\[\]'']', '', 'g')"
+CLEAN_CELLS = f"SELECT doc_id, {strip(_BRACKETS)} AS text FROM {CELLS}"
+
+SQL.update({
+    "infer_text_column": INFER,
+    "coalesce_text": COALESCE_TEXT,
+    "list_cell_text": f"SELECT doc_id, CASE WHEN lang = 'de' THEN '' WHEN lang = 'es' THEN text ELSE joined END AS text FROM {CELLS}",
+    "clean_list_cells": CLEAN_CELLS,
+    "lexicon_translate": TRANSLATE,
+})

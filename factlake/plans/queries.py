@@ -343,3 +343,64 @@ QUERIES.update({
     "pos_tag": pos_tag,
     "noun_phrases": noun_phrases,
 })
+
+
+# ---------------------------------------------------------------- cells, columns, translation
+from factlake.operators import schema as S  # noqa: E402
+from factlake.operators import infer  # noqa: E402
+
+TEXT_TABLES = ["documents", "benchmark", "conversations", "pages"]
+
+
+def infer_text_column(spark, sf):
+    """P04 per table, then the size of the chosen column over the whole table."""
+    out = None
+    for name in TEXT_TABLES:
+        df = table(spark, sf, name)
+        col = S.infer_text_column(df)
+        part = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                      F.sum((F.length(T.strip(col)) > 0).cast("long")).alias("n_nonblank"),
+                      F.sum(F.length(col)).cast("bigint").alias("n_chars")) \
+                 .select(F.lit(name).alias("table_name"), F.lit(col).alias("text_col"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _cells(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    cell = (F.when(F.col("lang") == "de", F.lit(None).cast("string"))
+             .when(F.col("lang") == "es", F.col("text"))
+             .otherwise(T.list_literal(T.after_que("text"))))
+    return d.select("doc_id", cell.alias("cell"))
+
+
+def coalesce_text(spark, sf):
+    d = table(spark, sf, "documents")
+    primary = F.when(F.col("lang") == "en", F.col("text"))
+    fallback = F.when(F.col("lang") != "de", F.col("source"))
+    return d.select("doc_id", T.first_nonblank(primary, fallback).alias("text"))
+
+
+def list_cell_text(spark, sf):
+    return _cells(spark, sf).select("doc_id", T.list_cell_text("cell").alias("text"))
+
+
+def clean_list_cells(spark, sf):
+    return _cells(spark, sf).select("doc_id", T.strip_brackets("cell").alias("text"))
+
+
+def lexicon_translate(spark, sf):
+    """C19 with the default translator: a lexicon derived from ``benchmark``
+    (every word of 2+ characters -> its reverse)."""
+    words = table(spark, sf, "benchmark").select(F.explode(T.tokens("text")).alias("src")).distinct()
+    lexicon = words.select("src", F.reverse("src").alias("tgt"))
+    return infer.translate_column(_docs(spark, sf), lexicon, "text", "text_pt")
+
+
+QUERIES.update({
+    "infer_text_column": infer_text_column,
+    "coalesce_text": coalesce_text,
+    "list_cell_text": list_cell_text,
+    "clean_list_cells": clean_list_cells,
+    "lexicon_translate": lexicon_translate,
+})
