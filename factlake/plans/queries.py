@@ -404,3 +404,41 @@ QUERIES.update({
     "clean_list_cells": clean_list_cells,
     "lexicon_translate": lexicon_translate,
 })
+
+
+# ---------------------------------------------------------------- Python-worker operators (rows-only checks)
+from factlake.operators import summarize  # noqa: E402
+
+
+def cluster_summary(spark, sf):
+    """Per-document k-means summary (no SQL form: iterative)."""
+    return summarize.cluster_summary(_docs(spark, sf))
+
+
+def _claim_data(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    data = lab.join(_docs(spark, sf), "doc_id")
+    split = prepare.stratified_split(data.select("doc_id", "label"), "label", "doc_id", seed=42)
+    data = data.join(split.select("doc_id", "split"), "doc_id")
+    weights = prepare.class_weights_mean(data.where(F.col("split") == "train"), "label", num_labels=2)
+    return data, weights
+
+
+def classify_batch(spark, sf):
+    """Class-weighted logistic regression trained on the train
+    split; predictions for every labelled document (no SQL form: training)."""
+    data, weights = _claim_data(spark, sf)
+    return infer.train_and_predict(data, weights)
+
+
+def classify_report(spark, sf):
+    """Class report of the test-split predictions."""
+    p = classify_batch(spark, sf).where(F.col("split") == "test")
+    return evaluate.class_report(p, [0, 1])
+
+
+QUERIES.update({
+    "cluster_summary": cluster_summary,
+    "classify_batch": classify_batch,
+    "classify_report": classify_report,
+})
