@@ -44,9 +44,12 @@ def word_tokens(x) -> Column:
 
 
 def remove_stop_words(arr, stop) -> Column:
-    """Drop tokens present in ``stop`` (a Python list)."""
-    stop_arr = F.array(*[F.lit(w) for w in stop])
-    return F.filter(_c(arr), lambda t: ~F.array_contains(stop_arr, t))
+    """Drop tokens present in ``stop`` (a Python list).  ``isin`` over
+    more than a few literals is planned as a hash-set lookup (InSet)."""
+    stop = list(stop)
+    if not stop:
+        return _c(arr)
+    return F.filter(_c(arr), lambda t: ~t.isin(*stop))
 
 
 def quoted_spans(x) -> Column:

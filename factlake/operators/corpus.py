@@ -25,6 +25,17 @@ def by_doc(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.repartition(n, key)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Parallelism guard for CPU-heavy row-level work: when the scan yields
+    fewer partitions than the cluster has cores (one small file, one row
+    group), spread the rows round-robin; otherwise (large inputs, many file
+    splits) leave the plan as it is, with no shuffle."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
+
+
 def sentence_table(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
                    partitioned: bool = True) -> DataFrame:
     """X07 long form ``<key, n_sent, sid, sentence>``; ``sid`` is 0-based."""
@@ -36,8 +47,7 @@ def sentence_table(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
 def term_counts(units: DataFrame, keys: list, text_col: str,
                 stop: list | None = None) -> DataFrame:
     """Raw term frequency per unit: ``<keys..., term, tf>``."""
-    toks = T.tokens(text_col)
+    t = units.select(*keys, F.explode(T.tokens(text_col)).alias("term"))
     if stop:
-        toks = T.remove_stop_words(toks, stop)
-    return (units.select(*keys, F.explode(toks).alias("term"))
-                 .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
+        t = t.where(~F.col("term").isin(list(stop)))   # hash-set lookup per token
+    return t.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))

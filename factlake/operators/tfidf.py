@@ -94,6 +94,29 @@ def pair_cosine(pairs: DataFrame, keys: list, left: str, right: str, stop: list,
     return pairs.select(*keys).join(scored, keys, "left")
 
 
+def doc_summary_cosine(orig: DataFrame, summaries: DataFrame, stop: list, key: str = "doc_id",
+                       method: str = "modelo", text_col: str = "original", summary_col: str = "summary",
+                       out: str = "cosine") -> DataFrame:
+    """C04 for many summaries of one original: the original's term counts
+    are computed once per document and joined to every summary (instead of
+    re-tokenising the original for each method).  Same values as
+    ``pair_cosine``."""
+    keys = [method, key]
+    a_doc = term_counts(orig, [key], text_col, stop).withColumnRenamed("tf", "a")
+    a = summaries.select(*keys).join(a_doc, key)
+    b = term_counts(summaries, keys, summary_col, stop).withColumnRenamed("tf", "b")
+    one_side = math.log(1.5) + 1.0
+    j = a.join(b, keys + ["term"], "full_outer").na.fill(0, ["a", "b"])
+    f = F.when((F.col("a") > 0) & (F.col("b") > 0), F.lit(1.0)).otherwise(F.lit(one_side))
+    agg = j.groupBy(*keys).agg(
+        F.sum(F.col("a") * F.col("b") * f * f).alias("dot"),
+        F.sum(F.col("a") * F.col("a") * f * f).alias("na"),
+        F.sum(F.col("b") * F.col("b") * f * f).alias("nb"))
+    cos = F.when((F.col("na") == 0) | (F.col("nb") == 0), F.lit(0.0)) \
+           .otherwise(F.col("dot") / (F.sqrt("na") * F.sqrt("nb")))
+    return summaries.select(*keys).join(agg.select(*keys, F.round(cos, SCORE_DIGITS).alias(out)), keys, "left")
+
+
 def tfidf_keywords(docs: DataFrame, stop: list, k: int = 10, text_col: str = "text",
                    key: str = "doc_id") -> DataFrame:
     """Keywords of one text fitted alone: idf is 1, so the score is

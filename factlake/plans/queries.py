@@ -21,6 +21,12 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+def _rows(df):
+    """Row-level queries: spread a scan that has too few partitions."""
+    from factlake.operators.corpus import spread
+    return spread(df)
+
+
 def sentence_centrality_top5(spark: SparkSession, sf: str) -> DataFrame:
     scored = tfidf.sentence_centrality(_docs(spark, sf))
     top = tfidf.top_sentences(scored, 5)
@@ -47,23 +53,23 @@ def _pos64(df):
 
 
 def clause_split(spark, sf):
-    return _pos64(segment.clause_table(_docs(spark, sf)))
+    return _pos64(segment.clause_table(_rows(_docs(spark, sf))))
 
 
 def after_que_clauses(spark, sf):
-    return _pos64(segment.after_que_table(_docs(spark, sf)))
+    return _pos64(segment.after_que_table(_rows(_docs(spark, sf))))
 
 
 def quoted_spans(spark, sf):
-    return _pos64(segment.quoted_table(_docs(spark, sf)))
+    return _pos64(segment.quoted_table(_rows(_docs(spark, sf))))
 
 
 def page_paragraphs(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", T.page_text("html").alias("text"))
+    return _rows(table(spark, sf, "pages")).select("page_id", "url", T.page_text("html").alias("text"))
 
 
 def text_chunks(spark, sf):
-    d = _docs(spark, sf)
+    d = _rows(_docs(spark, sf))
     return (d.select("doc_id", F.posexplode(T.chunks("text")).alias("chunk_id", "chunk"))
              .select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "chunk",
                      F.length("chunk").cast("bigint").alias("n_chars")))
@@ -207,7 +213,7 @@ def ngram_keywords(spark, sf):
 
 
 def _board(spark, sf):
-    d = _docs(spark, sf)
+    d = _rows(_docs(spark, sf))
     return scoreboard.scoreboard(d, scoreboard.method_summaries(d))
 
 
@@ -263,11 +269,11 @@ def tradeoff(spark, sf):
 
 
 def factual_share(spark, sf):
-    return segment.factual_share(_docs(spark, sf))
+    return segment.factual_share(_rows(_docs(spark, sf)))
 
 
 def factual_segments(spark, sf):
-    return segment.factual_segments(_docs(spark, sf))
+    return segment.factual_segments(_rows(_docs(spark, sf)))
 
 
 QUERIES.update({
@@ -367,7 +373,7 @@ def infer_text_column(spark, sf):
 
 
 def _cells(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = _rows(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     cell = (F.when(F.col("lang") == "de", F.lit(None).cast("string"))
              .when(F.col("lang") == "es", F.col("text"))
              .otherwise(T.list_literal(T.after_que("text"))))
