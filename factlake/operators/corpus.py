@@ -41,7 +41,10 @@ def sentence_table(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
     """X07 long form ``<key, n_sent, sid, sentence>``; ``sid`` is 0-based."""
     d = by_doc(docs.select(key, text_col), key) if partitioned else docs.select(key, text_col)
     d = d.select(key, T.sentences(text_col).alias("_s"))
-    return d.select(key, F.size("_s").alias("n_sent"), F.posexplode("_s").alias("sid", "sentence"))
+    # posexplode_outer: same rows (a split has at least one element) and no
+    # inferred filter below the shuffle, so every branch that reads the
+    # sentence table reuses one document exchange
+    return d.select(key, F.size("_s").alias("n_sent"), F.posexplode_outer("_s").alias("sid", "sentence"))
 
 
 def term_counts(units: DataFrame, keys: list, text_col: str,

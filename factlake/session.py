@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # co-partitioned joins may share a prefix of their keys (doc_id): data
+    # hash-partitioned on doc_id once is joined on (doc_id, sid) in place
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

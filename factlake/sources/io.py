@@ -13,15 +13,16 @@ from factlake.functions import text as T
 
 def read_lines(spark: SparkSession, path: str, keep_blank: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """One document per line, stripped, with ``doc_id`` = line
-    number (0-based, per file order).  ``encoding`` other than UTF-8 (e.g.
-    ISO-8859-1) is decoded by the CSV reader, since the text reader ignores
-    it.  The line number comes from ``zipWithIndex`` (no global window)."""
+    number (0-based, in file order).  The text reader keeps each line's raw
+    bytes, so another charset (e.g. ISO-8859-1, which cannot fail) is
+    applied with ``decode`` on those bytes; blank lines are kept.  The line
+    number comes from ``zipWithIndex`` (no global window)."""
+    raw = spark.read.text(path)
     if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
-        raw = spark.read.text(path).select(F.col("value").alias("line"))
+        line = F.col("value")
     else:
-        raw = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "")
-                    .option("escape", "").option("header", "false").csv(path)
-                    .select(F.coalesce(F.col("_c0"), F.lit("")).alias("line")))
+        line = F.decode(F.col("value").cast("binary"), encoding)
+    raw = raw.select(line.alias("line"))
     idx = raw.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])).toDF("doc_id long, line string")
     out = idx.select("doc_id", T.strip("line").alias("text"))
     return out if keep_blank else out.where(F.length("text") > 0)

@@ -17,8 +17,12 @@ from factlake.session import checkpoint_dir
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """File stream over the folder ``path`` (new files are new micro-batches);
+    ``glob`` keeps only matching file names."""
     r = spark.readStream.format(fmt).schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)

@@ -11,7 +11,7 @@ def test_page_text_stream(spark):
     src = "/root/testdata/sf0.001/pages.parquet"
     schema = spark.read.parquet(src).schema
     out = tempfile.mkdtemp(prefix="factlake-stream-")
-    s = stream.read_stream(spark, src, schema)
+    s = stream.read_stream(spark, os.path.dirname(src), schema, glob="pages.parquet")
     q = stream.write_parquet(stream.apply_rows(s, {"text": T.page_text("html")}, ["page_id"]),
                              os.path.join(out, "t"), "pages_" + os.path.basename(out))
     q.awaitTermination(120)
