@@ -59,3 +59,9 @@ def binary_label(x) -> Column:
              .when(s.isin(*_lits(vocab.BINARY_NEGATIVE)), F.lit(0))
              .when(s.contains("fact") & ~s.contains("non"), F.lit(1))
              .otherwise(F.lit(0)))
+
+
+def argmax(scores) -> Column:
+    """0-based index of the largest class score (first on ties)."""
+    s = _c(scores)
+    return (F.array_position(s, F.array_max(s)) - 1).cast("int")

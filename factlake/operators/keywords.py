@@ -48,29 +48,29 @@ def embed_keywords(texts: DataFrame, keys: list, stop: list, n_max: int = 1, top
     """Candidate n-grams (1..``n_max`` tokens, formed after stop-word
     removal) ranked by cosine to the text's embedding.
 
-    Default embedder: hashed bag of tokens (``dims`` buckets).  A text's
-    vector counts its tokens per bucket, a candidate's vector its own
-    tokens; both are long tables, so the cosine is two keyed aggregates
-    and one equi-join on ``(keys, bucket)``.  Ties -> keyword order.
+    Default embedder: hashed bag of tokens (``dims`` buckets).  The text's
+    vector is a grouped count per (text, bucket), kept as a map of at most
+    ``dims`` entries; each candidate is scored in its own row against that
+    map (dot = sum of the text's counts at the candidate's buckets,
+    |candidate|^2 = sum of bucket multiplicities), so no candidate-level
+    aggregate or join is needed.  Ties -> keyword order.
     Returns ``<keys..., rank, keyword, score>``.
     """
     d = by_doc(texts.select(*keys, text_col), doc_key).select(*keys, T.tokens(text_col).alias("toks"))
     dv = (d.select(*keys, F.explode("toks").alias("t"))
-           .groupBy(*keys, hash_bucket("t", dims).alias("b")).agg(F.count(F.lit(1)).alias("dv")))
-    dn = dv.groupBy(*keys).agg(F.sqrt(F.sum(F.col("dv") * F.col("dv"))).alias("dnorm"))
+           .groupBy(*keys, hash_bucket("t", dims).alias("b")).agg(F.count(F.lit(1)).alias("dv"))
+           .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "dv"))).alias("dvm"),
+                               F.sqrt(F.sum(F.col("dv") * F.col("dv"))).alias("dnorm")))
     # the filtered token list is its own column: referenced many times by the
     # n-gram expression, it is then computed once per text, not per n-gram
     ft = d.select(*keys, T.remove_stop_words("toks", stop).alias("ft"))
     grams = ft.select(*keys, F.explode(_ngrams(F.col("ft"), n_max)).alias("keyword"))
-    gb = (grams.select(*keys, "keyword", F.explode(F.split("keyword", " ")).alias("t"))
-               .groupBy(*keys, "keyword", hash_bucket("t", dims).alias("b"))
-               .agg(F.count(F.lit(1)).alias("cv")))
-    sc = (gb.join(dv, [*keys, "b"], "left")
-            .groupBy(*keys, "keyword")
-            .agg(F.sum(F.col("cv") * F.coalesce("dv", F.lit(0))).alias("dot"),
-                 F.sum(F.col("cv") * F.col("cv")).alias("cn"))
-            .join(dn, keys)
-            .withColumn("score", F.round(F.col("dot") / (F.sqrt("cn") * F.col("dnorm")), 6)))
+    g = grams.select(*keys, "keyword",
+                     F.transform(F.split("keyword", " "), lambda t: hash_bucket(t, dims)).alias("bs")).join(dv, keys)
+    dot = F.aggregate("bs", F.lit(0).cast("bigint"), lambda acc, b: acc + F.coalesce(F.col("dvm")[b], F.lit(0)))
+    cn = F.aggregate(F.transform("bs", lambda x: F.size(F.filter("bs", lambda y: y == x))), F.lit(0),
+                     lambda acc, c: acc + c)
+    sc = g.withColumn("score", F.round(dot / (F.sqrt(cn) * F.col("dnorm")), 6))
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("keyword"))
     return (sc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
               .select(*keys, F.col("rank").cast("bigint").alias("rank"), "keyword", "score"))

@@ -609,3 +609,21 @@ SQL.update({
     "clean_list_cells": CLEAN_CELLS,
     "lexicon_translate": TRANSLATE,
 })
+
+
+def tfidf_kw_sql(src: str, text: str, k: int = 10) -> str:
+    return f"""(WITH t AS (SELECT doc_id, unnest({no_stop(tokens(text))}) AS term FROM {src}),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT *, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)), 6) AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s)
+SELECT doc_id, rank, term, score FROM r WHERE rank <= {k})"""
+
+
+NEWS = "WITH " + tfidf_summary_ctes() + f""",
+kt AS (SELECT doc_id, string_agg(term, ', ' ORDER BY rank) AS kw FROM {tfidf_kw_sql('ts', 'summary')} GROUP BY doc_id),
+ke AS (SELECT doc_id, string_agg(keyword, ', ' ORDER BY rank) AS kw FROM {embed_kw_sql('ts', ['doc_id'], 'summary', 1, 5)} GROUP BY doc_id),
+qd AS (SELECT doc_id, {list_literal(after_que_parts('text'))} AS termos_relevantes FROM documents)
+SELECT ts.doc_id, ts.summary AS resumo, coalesce(kt.kw, '') AS palavras_chave_tfidf,
+       coalesce(ke.kw, '') AS palavras_chave_emb, qd.termos_relevantes
+FROM ts LEFT JOIN kt USING (doc_id) LEFT JOIN ke USING (doc_id) JOIN qd USING (doc_id)"""
+SQL["news_record"] = NEWS

@@ -448,3 +448,26 @@ QUERIES.update({
     "classify_batch": classify_batch,
     "classify_report": classify_report,
 })
+
+
+def news_record(spark, sf):
+    """The wide record per document: TF-IDF summary, its
+    TF-IDF keywords and embedding keywords (", "-joined in rank order) and
+    the after-"que" clauses as a list literal (Q6: the clauses, not the
+    whole text).  Keyed joins on doc_id, no positional zip."""
+    d = _docs(spark, sf)
+    summ = tfidf.tfidf_summary(d)
+    kt = (tfidf.tfidf_keywords(by_doc(summ.withColumnRenamed("summary", "text")), list(vocab.stop_words("portuguese")), 10)
+          .groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
+                                                          lambda s: s["term"]), ", ").alias("palavras_chave_tfidf")))
+    ke = (keywords.embed_keywords(summ, ["doc_id"], list(vocab.stop_words("english")), 1, 5, "summary")
+          .groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))),
+                                                          lambda s: s["keyword"]), ", ").alias("palavras_chave_emb")))
+    que = _rows(d).select("doc_id", T.list_literal(T.after_que("text")).alias("termos_relevantes"))
+    return (summ.withColumnRenamed("summary", "resumo").join(kt, "doc_id", "left").join(ke, "doc_id", "left")
+                .join(que, "doc_id")
+                .select("doc_id", "resumo", F.coalesce("palavras_chave_tfidf", F.lit("")).alias("palavras_chave_tfidf"),
+                        F.coalesce("palavras_chave_emb", F.lit("")).alias("palavras_chave_emb"), "termos_relevantes"))
+
+
+QUERIES["news_record"] = news_record

@@ -28,9 +28,41 @@ def read_lines(spark: SparkSession, path: str, keep_blank: bool = True, encoding
     return out if keep_blank else out.where(F.length("text") > 0)
 
 
+def read_csv_fallback(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> DataFrame:
+    """CSV files that are valid UTF-8 are read as UTF-8, the others with
+    ``fallback``; a whole-file decision, as in the source.  Validity is
+    checked per line in parallel (``is_valid_utf8`` over the raw line
+    bytes) and reduced per file; only file names reach the driver."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.is_valid_utf8("value").alias("ok"))
+    per_file = lines.groupBy("f").agg(F.bool_and("ok").alias("ok")).collect()
+    good = [r["f"] for r in per_file if r["ok"]]
+    bad = [r["f"] for r in per_file if not r["ok"]]
+    parts = []
+    if good:
+        parts.append(read_table(spark, good))
+    if bad:
+        parts.append(spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                     .option("encoding", fallback).option("inferSchema", True).csv(bad))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Page table ``<page_id, url, html>``; a page whose fetch failed
+    (NULL html) is kept and flagged, so keys never shift."""
+    return spark.read.parquet(path).withColumn("fetch_failed", F.col("html").isNull())
+
+
+def select_ordinal(df: DataFrame, k: int) -> DataFrame:
+    """The ``k``-th column (0-based), e.g. 1 = links, 5 = "column F"."""
+    return df.select(df.columns[k])
+
+
 def read_table(spark: SparkSession, path: str, header: bool = True, schema=None) -> DataFrame:
     """Header-row delimited file (CSV) or columnar file (parquet)."""
-    if path.lower().endswith(".parquet"):
+    if isinstance(path, str) and path.lower().endswith(".parquet"):
         return spark.read.parquet(path)
     r = spark.read.option("header", header).option("multiLine", True).option("escape", '"')
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)

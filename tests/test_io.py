@@ -57,3 +57,17 @@ def test_schema_checks(spark):
     with pytest.raises(ValueError):
         schema.require_columns(df, ["nope"])
     assert schema.require_columns(df, ["nope"], strict=False) is False
+
+
+def test_csv_charset_fallback_and_pages(spark):
+    d = tempfile.mkdtemp(prefix="factlake-io-")
+    with open(os.path.join(d, "a.csv"), "wb") as f:
+        f.write("text,label\nação,1\n".encode("utf-8"))
+    with open(os.path.join(d, "b.csv"), "wb") as f:
+        f.write("text,label\ncoração,0\n".encode("latin-1"))
+    got = sorted(r["text"] for r in io.read_csv_fallback(spark, d).collect())
+    assert got == ["ação", "coração"]
+    pages = io.read_pages(spark, "/root/testdata/sf0.001/pages.parquet")
+    assert "fetch_failed" in pages.columns
+    assert pages.where("fetch_failed").count() == pages.where("html IS NULL").count()
+    assert io.select_ordinal(pages, 1).columns == ["url"]

@@ -24,3 +24,8 @@ def test_three_class(spark):
 def test_binary_label(spark):
     assert _map(spark, L.binary_label, ["fato", "boato", "not-factual", "foo", None, "Verdadeiro"]) == \
         [1, 0, 1, 0, 0, 1]
+
+
+def test_argmax(spark):
+    df = spark.createDataFrame([([0.1, 0.7, 0.2],), ([0.5, 0.5],)], "s array<double>")
+    assert [r[0] for r in df.select(L.argmax("s")).collect()] == [1, 0]
