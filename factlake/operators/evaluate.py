@@ -118,3 +118,15 @@ def binary_metrics(df: DataFrame, positive, gold: str = "gold", pred: str = "pre
     return a.select(F.round(F.col("ok") / F.col("n"), digits).alias("accuracy"),
                     F.round("precision", digits).alias("precision"), F.round("recall", digits).alias("recall"),
                     F.round(f1, digits).alias("f1"))
+
+
+def evaluation_frame(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """Keep the text and label columns (error when one is
+    missing), normalise the gold label, drop rows whose text or gold label
+    is NULL (Q8: a missing text stays NULL instead of becoming "nan")."""
+    from factlake.functions.labels import gold_label
+    from factlake.functions.text import strip
+    from factlake.operators.schema import require_columns
+    require_columns(df, [text_col, label_col])
+    out = df.select(strip(F.col(text_col)).alias("text"), gold_label(F.col(label_col).cast("string")).alias("gold"))
+    return out.na.drop(subset=["text", "gold"])

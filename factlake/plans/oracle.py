@@ -627,3 +627,9 @@ SELECT ts.doc_id, ts.summary AS resumo, coalesce(kt.kw, '') AS palavras_chave_tf
        coalesce(ke.kw, '') AS palavras_chave_emb, qd.termos_relevantes
 FROM ts LEFT JOIN kt USING (doc_id) LEFT JOIN ke USING (doc_id) JOIN qd USING (doc_id)"""
 SQL["news_record"] = NEWS
+
+CLAIM_GP = (f"(SELECT {gold_label('CAST(quality AS VARCHAR)')} AS gold, "
+            f"CASE WHEN regexp_matches(text, '\\d') THEN 'factual' ELSE 'non-factual' END AS pred "
+            f"FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL)")
+SQL["claim_eval_report"] = CLASS_REPORT.replace(f"FROM {GOLD_PRED} GROUP BY ALL",
+                                                f"FROM (SELECT * FROM {CLAIM_GP} WHERE gold IS NOT NULL) GROUP BY ALL")

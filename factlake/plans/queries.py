@@ -471,3 +471,16 @@ def news_record(spark, sf):
 
 
 QUERIES["news_record"] = news_record
+
+
+def claim_eval_report(spark, sf):
+    """E3 evaluation-only flow: labelled texts (documents ⋈ labels) ->
+    evaluation frame (gold from quality) -> default claim classifier ->
+    class report over factual / non-factual."""
+    data = table(spark, sf, "labels").join(_docs(spark, sf), "doc_id")
+    ev = evaluate.evaluation_frame(data, "text", "quality")
+    pred = ev.withColumn("pred", segment.rule_label("text"))
+    return evaluate.class_report(pred, EVAL_LABELS)
+
+
+QUERIES["claim_eval_report"] = claim_eval_report
