@@ -67,7 +67,7 @@ def embed_keywords(texts: DataFrame, keys: list, stop: list, n_max: int = 1, top
     grams = ft.select(*keys, F.explode(_ngrams(F.col("ft"), n_max)).alias("keyword"))
     g = grams.select(*keys, "keyword",
                      F.transform(F.split("keyword", " "), lambda t: hash_bucket(t, dims)).alias("bs")).join(dv, keys)
-    dot = F.aggregate("bs", F.lit(0).cast("bigint"), lambda acc, b: acc + F.coalesce(F.col("dvm")[b], F.lit(0)))
+    dot = F.aggregate("bs", F.lit(0).cast("bigint"), lambda acc, b: acc + F.coalesce(F.try_element_at("dvm", b), F.lit(0)))
     cn = F.aggregate(F.transform("bs", lambda x: F.size(F.filter("bs", lambda y: y == x))), F.lit(0),
                      lambda acc, c: acc + c)
     sc = g.withColumn("score", F.round(dot / (F.sqrt(cn) * F.col("dnorm")), 6))
