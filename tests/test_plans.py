@@ -40,3 +40,13 @@ def test_centrality_single_document_shuffle(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     exchanges = [ln for ln in p.splitlines() if "Exchange" in ln]
     assert exchanges and all("REPARTITION_BY_NUM" in ln or "ReusedExchange" in ln for ln in exchanges), exchanges
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_single_partition_window(spark, name):
+    """Every window has a partition key (no window over a whole table)."""
+    import re
+    if name in ("classify_batch", "classify_report", "boxplot_stats"):
+        pytest.skip("runs a job while planning")
+    p = plan(E.queries()[name](spark, SF001))
+    assert not re.search(r"Window \[.*\], \[\], \[", p), [ln for ln in p.splitlines() if "Window [" in ln]
