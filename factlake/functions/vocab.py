@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import functools
-import glob
 import os
 import re
-import zipfile
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the source behaviour for identical results).
@@ -84,19 +82,8 @@ def after_que_pattern_java(terminator: str = QUE_TERMINATOR) -> str:
 
 @functools.lru_cache(maxsize=None)
 def stop_words(language: str = "portuguese") -> tuple:
-    """Spark ML's default stop-word list for ``language``.
-
-    Read from the resource bundled with Spark's ML jar (the same list
-    ``StopWordsRemover.loadDefaultStopWords`` returns) so no JVM is needed,
-    e.g. when an oracle string is built.
-    """
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split()
-                return tuple(dict.fromkeys(w for w in words if w))
-    raise FileNotFoundError(f"no stop-word list for {language}")
+    """The fixed stop-word list of ``language`` (Spark ML's public lists, kept
+    as one word per line under ``stopwords/``), in its natural order."""
+    path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "stopwords", f"{language}.txt")
+    with open(path, encoding="utf-8") as f:
+        return tuple(w for w in f.read().split("\n") if w)
