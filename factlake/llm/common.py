@@ -12,7 +12,7 @@ from factlake.session import cut_lineage
 
 # White space as Unicode's White_Space property has it (``str.split()`` would
 # also split at U+001C..U+001F).
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0  -     　"
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

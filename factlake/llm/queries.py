@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import exact_dedup, topk
+from factlake.llm import bpe, exact_dedup, packing, secrets, topk
 from factlake.sources.tables import table
 
 
+def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_decode_digest(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                    public_tokenizers.PATTERN)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
@@ -16,7 +26,11 @@ def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"), k=5, query_every=50)
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op7_topk": op7_topk}
+def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan_digest(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan)}
 
 
 def oracle_sql() -> dict:
