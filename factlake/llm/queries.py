@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import bpe, exact_dedup, packing, secrets, topk
+from factlake.llm import bpe, exact_dedup, langid, packing, secrets, topk
 from factlake.sources.tables import table
 
 
@@ -30,7 +30,12 @@ def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan_digest(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan)}
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict:
