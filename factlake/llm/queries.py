@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import bpe, exact_dedup, langid, packing, secrets, topk
+from factlake.llm import bpe, exact_dedup, langid, packing, secrets, topk, toxicity
+from factlake.llm.common import held_out
 from factlake.sources.tables import table
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return (toxicity.score(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_decode_digest(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                     public_tokenizers.PATTERN)
@@ -35,7 +43,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict:
