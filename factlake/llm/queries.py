@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import bpe, exact_dedup, langid, packing, secrets, topk, toxicity
+from factlake.llm import bpe, exact_dedup, langid, near_dup, packing, secrets, topk, toxicity
 from factlake.llm.common import held_out
 from factlake.sources.tables import table
 
@@ -38,13 +38,17 @@ def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan_digest(table(spark, sf, "documents"))
 
 
+def op9_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return langid.predict(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op9_near_dup, op10_language_id)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": exact_dedup.SQL, "op7_topk": topk.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op7_topk": topk.SQL, "op9_near_dup": near_dup.SQL}
