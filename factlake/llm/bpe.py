@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -21,33 +22,40 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from factlake.llm.common import WHITE, id_text, worker_state
+from factlake.llm.common import WHITE, coded, id_text, worker_state
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_OUT = "doc_id long, ids array<int>"
-CACHE_UNITS = 700_000       # distinct units a worker remembers before it starts afresh
-BATCH_CHARS = 4_000_000     # text looked at together
-WORDS_PER_QUERY = 40_000    # words that one recursive query contracts
+CACHE_UNITS = 600_000       # distinct units in each of the two generations that a worker remembers
+BATCH_CHARS = 8_000_000     # text looked at together
+WORDS_PER_QUERY = 60_000    # words that one recursive query contracts
 ROUNDS = 64                 # rounds of one query: a longer word goes through several, so its rows stay bounded
-_POS = 1 << 32
+_RANK = 1 << 32
 
-# p: each position with its successor; b: each word's best (rank, position) and the position it swallows.
+# A row is a token at a position of a word, with the position and id of its
+# successor (-1: none).  b: each word's best (rank, position) and the position
+# it swallows; e: what stands behind that; then the swallowed row goes and its
+# neighbours are joined up.
 ENCODE = f"""
-WITH RECURSIVE step(i, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM start
+WITH RECURSIVE step(i, w, pos, tok, next_pos, next_tok) AS (
+  SELECT 0, w, pos, tok, next_pos, next_tok FROM start
   UNION ALL
-  (WITH p AS (SELECT i, w, pos, tok, lead(pos) OVER d AS next_pos, lead(tok) OVER d AS next_tok
-              FROM step WHERE i < {ROUNDS} WINDOW d AS (PARTITION BY w ORDER BY pos)),
-   b AS (SELECT p.w, min(g.m::BIGINT * {_POS} + p.pos) AS best, arg_min(p.next_pos, g.m::BIGINT * {_POS} + p.pos) AS gone
-         FROM p JOIN merges g ON g.l = p.tok AND g.r = p.next_tok GROUP BY p.w)
-   SELECT s.i + 1, s.w, s.pos, CASE WHEN s.pos = best % {_POS} THEN (best // {_POS})::INTEGER ELSE s.tok END
-   FROM step s JOIN b ON b.w = s.w WHERE s.pos <> b.gone))
-SELECT w, pos, tok, i FROM (SELECT *, max(i) OVER (PARTITION BY w) AS last FROM step) WHERE i = last ORDER BY w, pos
+  (WITH b AS (SELECT w, min(g.m::BIGINT * {_RANK} + pos) AS best, arg_min(next_pos, g.m::BIGINT * {_RANK} + pos) AS gone
+              FROM step JOIN merges g ON g.pair = step.tok::BIGINT * {_RANK} + step.next_tok WHERE i < {ROUNDS} GROUP BY w),
+   e AS (SELECT b.w, (best % {_RANK})::INTEGER AS hit, (best // {_RANK})::INTEGER AS m, gone, s.next_pos AS end_pos,
+                s.next_tok AS end_tok FROM b JOIN step s ON s.w = b.w AND s.pos = b.gone)
+   SELECT s.i + 1, s.w, s.pos, CASE WHEN s.pos = hit THEN m ELSE s.tok END,
+          CASE WHEN s.pos = hit THEN end_pos ELSE s.next_pos END,
+          CASE WHEN s.pos = hit THEN end_tok WHEN s.next_pos = hit THEN m ELSE s.next_tok END
+   FROM step s JOIN e ON e.w = s.w WHERE s.pos <> gone))
+SELECT s.w, s.pos, s.tok, s.next_pos, s.next_tok, s.i
+FROM step s JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) z ON z.w = s.w AND z.i = s.i
 """
 DECODE = """
-SELECT w, count(*) AS n, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS hex
+SELECT w, string_agg(' ' || tok::VARCHAR, '' ORDER BY pos) AS ids, string_agg(v.hex, '' ORDER BY pos) AS hex
 FROM tokens JOIN vocabulary v USING (tok) GROUP BY w ORDER BY w
 """
+_COLUMNS = ("w", "pos", "tok", "next_pos", "next_tok")
 
 
 class Codec:
@@ -55,16 +63,18 @@ class Codec:
 
     def __init__(self, rank_lines: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines())}
-        merges = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))
+        merges = [(ranks[t[:i]] * _RANK + ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t))
                   if t[:i] in ranks and t[i:] in ranks]
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        self._table("merges", {n: np.array(c, dtype=np.int32) for n, c in zip("lrm", zip(*merges))}, keep=True)
+        self._table("merges", {"pair": np.array([m[0] for m in merges], dtype=np.int64),
+                               "m": np.array([m[1] for m in merges], dtype=np.int32)}, keep=True)
         self._table("vocabulary", {"tok": np.array(list(ranks.values()), dtype=np.int32), "hex": [t.hex() for t in ranks]}, keep=True)
         self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.pattern = regex.compile(pattern)
-        self.ids: dict = {}      # unit -> its ids, each after a space
-        self.bytes: dict = {}    # unit -> its decoded bytes
+        # what a unit, or a match of the pattern by itself, becomes: ids, each after a space, and bytes
+        self.ids, self.bytes = {}, {}
+        self.old = {}, {}      # the generation before
 
     def _table(self, name, columns, keep=False):
         t = pa.table(columns)
@@ -73,49 +83,76 @@ class Codec:
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_{name}")
             self.con.unregister("arrow_" + name)
 
-    def encode_words(self, words: list) -> list:
-        """``(n, ids, bytes)`` of each byte string."""
+    def encode_words(self, words: list) -> tuple:
+        """Ids and decoded bytes of each byte string."""
         n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         w = np.repeat(np.arange(len(words), dtype=np.int32), n)
-        pos = np.arange(len(w), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        pos = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         tok = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        end = np.append(w[1:] != w[:-1], True)
+        rows = (w, pos, tok, np.where(end, -1, pos + 1).astype(np.int32), np.where(end, -1, np.append(tok[1:], 0)).astype(np.int32))
         done = []
-        while len(w):
-            self._table("start", {"w": w, "pos": pos, "tok": tok})
+        while len(rows[0]):
+            self._table("start", dict(zip(_COLUMNS, rows)))
             r = self.con.execute(ENCODE).fetchnumpy()
             on = np.asarray(r["i"]) == ROUNDS     # these words may have pairs left
-            w, pos, tok = (np.asarray(r[c]) for c in ("w", "pos", "tok"))
-            done.append((w[~on], pos[~on], tok[~on]))
-            w, pos, tok = w[on], pos[on], tok[on]
-        w, pos, tok = (np.concatenate(x) for x in zip(*done))
-        self._table("tokens", {"w": w, "pos": pos, "tok": tok})
-        return [(k, i, bytes.fromhex(h)) for _, k, i, h in self.con.execute(DECODE).fetchall()]
+            done.append([np.asarray(r[c])[~on] for c in _COLUMNS[:3]])
+            rows = [np.asarray(r[c])[on] for c in _COLUMNS]
+        self._table("tokens", dict(zip(_COLUMNS, (np.concatenate(x) for x in zip(*done)))))
+        r = self.con.execute(DECODE).fetchnumpy()
+        return r["ids"].tolist(), list(map(bytes.fromhex, r["hex"].tolist()))
 
     def learn(self, units: list) -> None:
         """Encode units, each match of the pattern by itself, and remember them."""
-        parts = {u: [p.encode() for p in self.pattern.findall(u)] for u in units}
-        words = list(dict.fromkeys(p for ps in parts.values() for p in ps))
-        known = {}
-        for s in range(0, len(words), WORDS_PER_QUERY):
-            chunk = words[s:s + WORDS_PER_QUERY]
-            known.update(zip(chunk, self.encode_words(chunk)))
-        for u, ps in parts.items():
-            got = [known[p] for p in ps]
-            self.ids[u] = "".join(" " + g[1] for g in got)
-            self.bytes[u] = b"".join(g[2] for g in got)
+        ids, raw = self.ids, self.bytes
+        many, words = {}, {}
+        for u in units:
+            if u[0] == " " and u[1:].isalpha() and u.isascii():
+                words[u] = None
+                continue
+            parts = self.pattern.findall(u)
+            words.update(dict.fromkeys(parts))
+            if len(parts) > 1:
+                many[u] = parts
+        self._recall(words)
+        new = [p for p in words if p not in ids]
+        for s in range(0, len(new), WORDS_PER_QUERY):
+            chunk = new[s:s + WORDS_PER_QUERY]
+            a, b = self.encode_words([p.encode() for p in chunk])
+            ids.update(zip(chunk, a))
+            raw.update(zip(chunk, b))
+        for u, parts in many.items():
+            at = itemgetter(*parts)
+            ids[u] = "".join(at(ids))
+            raw[u] = b"".join(at(raw))
+
+    def _recall(self, units):
+        """Carry over what the generation before knows."""
+        ids, raw = self.old
+        for u in units:
+            if u in ids:
+                self.ids[u], self.bytes[u] = ids[u], raw[u]
 
     def texts(self, texts: list):
-        """``(ids after spaces, decoded bytes)`` of each text."""
-        split = [self.units.findall(t) for t in texts]
-        new = set().union(*split) - self.ids.keys()
-        if len(self.ids) + len(new) > CACHE_UNITS:
-            self.ids.clear()
-            self.bytes.clear()
-            new = set().union(*split)
+        """``(number of ids, ids after spaces, decoded bytes)`` of each text,
+        the last two as buffers."""
+        ends, codes, units = coded([self.units.findall(t) for t in texts])
+        new = [u for u in units if u not in self.ids]
+        if len(self.ids) + len(new) > CACHE_UNITS and self.ids:
+            self.old = self.ids, self.bytes
+            self.ids, self.bytes = {}, {}
+            new = units
+        self._recall(new)
+        new = [u for u in new if u not in self.ids]
         if new:
-            self.learn(list(new))
-        for us in split:
-            yield "".join(map(self.ids.__getitem__, us)), b"".join(map(self.bytes.__getitem__, us))
+            self.learn(new)
+        ids = [self.ids[u] for u in units]
+        n = np.append(0, np.cumsum(np.array([i.count(" ") for i in ids], dtype=np.int64)[codes])) if ids else np.zeros(1, np.int64)
+        flat = [pa.array(v, pa.large_binary()).take(pa.array(codes)) for v in (ids, [self.bytes[u] for u in units])]
+        at = [np.frombuffer(f.buffers()[1], np.int64)[f.offset:] for f in flat]
+        raw = [memoryview(f.buffers()[2] or b"") for f in flat]
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield int(n[b] - n[a]), *(r[o[a]:o[b]] for r, o in zip(raw, at))
 
 
 def _groups(ids, texts):
@@ -149,7 +186,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     """``(doc_id, ids array<int>)`` of every whole text."""
     def make(ids, rows):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(
-            [[int(x) for x in r.split()] for r, _ in rows], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            [[int(x) for x in bytes(r).split()] for _, r, _ in rows], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return _over(id_text(docs, id_col, text_col), ranks_file, pattern, make, IDS_OUT)
 
@@ -165,9 +202,9 @@ def encode_decode_digest(docs: DataFrame, ranks_file: str, pattern: str, id_col:
     """
     def make(ids, rows):
         n, a, b = [], [], []
-        for r, raw in rows:
-            n.append(r.count(" "))
-            a.append(hashlib.sha256(r[1:].encode()).hexdigest())
+        for k, r, raw in rows:
+            n.append(k)
+            a.append(hashlib.sha256(r[1:]).hexdigest())
             b.append(hashlib.sha256(raw).hexdigest())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
                                           names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,14 @@ def worker_state(name: str, make):
     return getattr(holder, name)
 
 
+def coded(lists: list) -> tuple:
+    """Lists of strings as ``(ends, codes, distinct)``: where each list ends in
+    the flat sequence, the sequence as numbers, and the strings they stand for."""
+    ends = np.cumsum([0, *map(len, lists)])
+    d = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+    return ends, d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+
+
 def task_count(spark, rows: int, rows_per_task: int, least: int = 1) -> int:
     """Partitions so that no task gets more than about ``rows_per_task`` rows."""
     return max(least, -(-rows // rows_per_task))
