@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factlake.llm import bpe, exact_dedup, langid, near_dup, packing, secrets, topk, toxicity
+from factlake.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, secrets, topk, toxicity
 from factlake.llm.common import held_out
 from factlake.sources.tables import table
 
@@ -22,6 +23,11 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
                                     public_tokenizers.PATTERN)
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
@@ -47,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op9_near_dup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_line_dedup, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op9_near_dup, op10_language_id)}
 
 
 def oracle_sql() -> dict:
