@@ -17,43 +17,93 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from factlake.llm.common import WHITE, id_text, task_count, worker_state
+from factlake.llm.common import WHITE, coded, id_text, task_count, worker_state
 from factlake.session import cut_lineage
 
-CACHE_UNITS = 700_000
-BATCH_CHARS = 2_000_000
+CACHE_UNITS = 900_000
+BATCH_CHARS = 8_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class UnitTokenizer:
     """Token ids of texts through a cache of white-space-delimited units: the
-    tokenizer drops white space and never looks across it."""
+    tokenizer drops white space and never looks across it.  New units go to
+    the tokenizer in long lines; tokens that end a word part them again."""
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
         self.odd = re.compile("[\x1c-\x1f]")      # str.split() would also split at these
         self.split = re.compile(f"[^{WHITE}]+")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # units of one match of the split pattern, or two: as many word ends
+        signs = r'[!-&(-/:;=?@\[-`{}~]+'
+        self.simple = regex.compile(rf"\p{{L}}+|{signs}")
+        self.tail = regex.compile(rf"(\p{{L}}+)({signs})")
         self.cache: dict = {}
 
+    def words(self, words: list) -> list:
+        """Ids of words that have one word end each."""
+        lines = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]
+        out = []
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            raw = ids.tobytes()
+            out += [raw[4 * i:4 * j] for i, j in zip([0, *at[:-1].tolist()], at.tolist())]
+        if len(out) != len(words):
+            raise ValueError("a word did not end in one word-end token")
+        return out
+
+    def learn(self, units) -> None:
+        simple, tails, rest = {}, [], []
+        for u in units:
+            if u.isalpha() or self.simple.fullmatch(u):
+                simple[u] = None
+            elif m := self.tail.fullmatch(u):
+                tails.append((u, m[1], m[2]))
+                simple[m[1]] = simple[m[2]] = None
+            else:
+                rest.append(u)
+        new = [u for u in simple if u not in self.cache]
+        self.cache.update(zip(new, self.words(new)))
+        for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.cache[u] = np.array(e.ids, dtype="<u4").tobytes()
+        for u, a, b in tails:
+            self.cache[u] = self.cache[a] + self.cache[b]
+
+    def units(self, text: str) -> list:
+        if self.odd.search(text):
+            return self.split.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()     # the tokenizer lowers case too; here that leaves fewer units
+
     def texts(self, texts: list):
         """Little-endian unsigned 32-bit ids of each text, as bytes."""
-        units = [self.split.findall(t) if self.odd.search(t) else t.split() for t in texts]
-        new = set().union(*units) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_UNITS:
-            self.cache.clear()
-            new = set().union(*units)
-        new = list(new)
-        for s in range(0, len(new), 20_000):
-            chunk = new[s:s + 20_000]
-            for u, e in zip(chunk, self.tokenizer.encode_batch(chunk, add_special_tokens=False)):
-                self.cache[u] = np.array(e.ids, dtype="<u4").tobytes()
-        for us in units:
-            yield b"".join(map(self.cache.__getitem__, us))
+        ends, codes, units = coded([self.units(t) for t in texts])
+        new = [u for u in units if u not in self.cache]
+        if len(self.cache) + len(new) > CACHE_UNITS and self.cache:
+            self.cache = {}
+            new = units
+        self.learn(new)
+        values = [self.cache[u] for u in units]
+        ids = np.frombuffer(b"".join(values), dtype="<u4")
+        length = np.array([len(v) // 4 for v in values], dtype=np.int64)
+        n = length[codes]
+        until = np.append(0, np.cumsum(n))
+        ids = ids[np.repeat((np.cumsum(length) - length)[codes] - until[:-1], n) + np.arange(until[-1])]
+        for a, b in zip(until[ends[:-1]], until[ends[1:]]):
+            yield ids[a:b].tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id",
