@@ -107,8 +107,8 @@ def linked(inter, na, nb, percent):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, node, bands, sketch)`` of ``(doc_id, text)``; node is the
-    digest of the set, null for a text without words."""
+    """``(doc_id, n, node, bands, sketch, text_hash)`` of ``(doc_id, text)``;
+    node is the digest of the set, null for a text without words."""
     def run(batches):
         cache = worker_state("near_dup_words", _WordHashes)
         for b in batches:
@@ -122,9 +122,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketch.append(odd_sketch(m) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-                 pa.array(sketch, pa.binary())], names=["doc_id", "n", "node", "bands", "sketch"])
+                 pa.array(sketch, pa.binary()), b.column(2)], names=["doc_id", "n", "node", "bands", "sketch", "text_hash"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, n long, node binary, bands array<long>, sketch binary, text_hash long")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def bucket_links(pdf: pd.DataFrame, percent: int, least: float) -> list:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+    """``(doc_id, n_shingles, component_id, kept, text_hash)``, one row per input row.
 
     Documents are linked when ``100 * intersection >= percent * union`` of
     their shingle sets; ``component_id`` is the smallest id reachable.  A text
@@ -259,9 +260,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     best = (classes.select("node", "rep_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = best.groupBy("root").agg(F.min("rep_id").alias("component_id")).join(
         best.select("root", "node"), "root").select("node", "component_id")
-    out = rows.select("doc_id", "n", "node").join(best, "node", "left")
+    out = rows.select("doc_id", "n", "node", "text_hash").join(best, "node", "left")
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"),
+                      "text_hash")
+
+
+def representatives(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are the kept one of their
+    component.  Rows are told apart by id and text; where the kept id of a
+    component is null, all its rows stay."""
+    gone = (near_duplicates(docs, percent, id_col, text_col).where("NOT kept")
+            .select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct())
+    same = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_gone_text")
+    return docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone")) & same, "left_anti")
 
 
 def _most_ones(least: float) -> int:

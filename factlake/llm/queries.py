@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, secrets, topk, toxicity
+from factlake.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, secrets, suffix_dedup, topk, toxicity
 from factlake.llm.common import held_out
 from factlake.sources.tables import table
 
@@ -32,6 +32,10 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.removed_digest(table(spark, sf, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
@@ -45,7 +49,7 @@ def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_near_dup(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf, "documents"), percent=85)
+    return near_dup.near_duplicates(table(spark, sf, "documents"), percent=85).drop("text_hash")
 
 
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +57,8 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_line_dedup, op4_best_fit_packing, op6_exact_dedup, op7_topk, op8_secret_scan, op9_near_dup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_bpe, op3_line_dedup, op4_best_fit_packing, op5_suffix_dedup, op6_exact_dedup, op7_topk, op8_secret_scan, op9_near_dup, op10_language_id)}
 
 
 def oracle_sql() -> dict:
