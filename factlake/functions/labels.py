@@ -26,7 +26,7 @@ def gold_label(x) -> Column:
     is truncated to an integer (1 -> factual, any other -> non-factual);
     NaN, infinities and unknown text -> NULL."""
     s = _norm(x)
-    num = s.try_cast("double")
+    num = F.when(s.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?$"), s.try_cast("double"))
     finite = num.isNotNull() & ~F.isnan(num) & (F.abs(num) != float("inf"))
     return (F.when(_c(x).isNull(), F.lit(None).cast("string"))
              .when(s.isin(*_lits(vocab.GOLD_FACTUAL)), F.lit("factual"))

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from factlake.functions import vocab
 
 SEP = "\u0001"        # part separator used inside one value, never in text
+# White space as Python's ``\\s`` and ``str.strip`` have it, in a form that Java
+# and RE2 both read (their own ``\\s`` is ASCII only).
+WS = (r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+SENTENCE_END = rf"(?<=[.?!])[{WS}]+"
 WORD_RUN = r"[\p{L}\p{M}\p{N}_]"
 TOKEN2 = WORD_RUN + "{2,}"                         # words of 2+ chars
-WORD_OR_PUNCT = WORD_RUN + r"+|[^\s\p{L}\p{M}\p{N}_]"  # words and single marks
+WORD_OR_PUNCT = WORD_RUN + rf"+|[^{WS}\p{{L}}\p{{M}}\p{{N}}_]"  # words and single marks
 
 
 def _c(x) -> Column:
@@ -20,17 +24,17 @@ def _c(x) -> Column:
 
 def strip(x) -> Column:
     """Trim all leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), rf"^[{WS}]+|[{WS}]+\z", "")
 
 
 def squash(x) -> Column:
     """Collapse whitespace runs to one space, trim, lower-case."""
-    return F.lower(strip(F.regexp_replace(_c(x), r"(?U)\s+", " ")))
+    return F.lower(strip(F.regexp_replace(_c(x), f"[{WS}]+", " ")))
 
 
 def sentences(x) -> Column:
     """Split after ``.``, ``?`` or ``!`` followed by whitespace."""
-    return F.split(strip(F.coalesce(_c(x), F.lit(""))), r"(?<=[.?!])\s+")
+    return F.split(strip(F.coalesce(_c(x), F.lit(""))), SENTENCE_END)
 
 
 def tokens(x) -> Column:
@@ -81,11 +85,29 @@ def after_que(x, terminator: str = vocab.QUE_TERMINATOR) -> Column:
     return _nonblank_parts(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(pat), 1))
 
 
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _code_point(digits, base: int) -> Column:
+    """The character of a code point given as text; NULL if there is none."""
+    n = F.conv(digits, base, 10).cast("bigint")
+    ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+
 def html_unescape(x) -> Column:
-    out = _c(x)
-    for ent, ch in vocab.HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Named (HTML 4) and numeric entities in one pass, so ``&amp;lt;`` becomes
+    ``&lt;``; an unknown entity stays as it is."""
+    names = F.create_map(*[F.lit(v) for pair in vocab.html_entities().items() for v in pair])
+
+    def one(part):
+        e = F.regexp_extract(part, "^" + ENTITY, 1)
+        char = (F.when(e == "", None).when(e.rlike("^#[xX]"), _code_point(F.substring(e, 3, 9), 16))
+                .when(e.startswith("#"), _code_point(F.substring(e, 2, 9), 10)).otherwise(F.try_element_at(names, e)))
+        return F.coalesce(F.concat(char, F.substr(part, F.length(e) + 3)), part)
+
+    plain = _c(x)
+    return F.when(plain.contains("&"), F.array_join(F.transform(F.split(plain, "(?=&)"), one), "")).otherwise(plain)
 
 
 BLOCK_END = r"<p[\s>]|</p>|</article>|</body>|<footer|<div"
@@ -113,7 +135,7 @@ def chunks(x, max_chars: int = 1200) -> Column:
     """Greedy sentence packing into pieces of at most ``max_chars``;
     over-long pieces are hard-cut.  NULL -> [""]; short texts are one piece."""
     t = strip(F.coalesce(_c(x), F.lit("")))
-    sents = F.split(t, r"(?<=[.?!])\s+")
+    sents = F.split(t, SENTENCE_END)
     init = F.struct(F.array().cast("array<string>").alias("c"), F.lit("").alias("b"))
 
     def step(acc, s):
@@ -134,10 +156,28 @@ def chunks(x, max_chars: int = 1200) -> Column:
 
 
 def list_cell_text(x) -> Column:
-    """X11: a cell holding a list literal becomes its items joined by a space;
-    NULL -> ""; any other text is kept as it is."""
-    parsed = F.from_json(_c(x), "array<string>", {"allowSingleQuotes": "true"})
-    return F.coalesce(F.array_join(parsed, " "), _c(x), F.lit(""))
+    """X11: a cell holding a list or tuple literal becomes its items joined by
+    a space, a quoted string its content; NULL -> ""; any other text is kept."""
+    c = _c(x)
+    items = F.transform(F.regexp_extract_all(c, F.lit(LITERAL_ITEM), 0), _unquoted)
+    return (F.when(c.rlike(LITERAL_LIST), F.array_join(items, " "))
+             .when(c.rlike(rf"^[{WS}]*(?:{LITERAL_STRING})[{WS}]*\z"), _unquoted(strip(c)))
+             .otherwise(F.coalesce(c, F.lit(""))))
+
+
+LITERAL_STRING = r"'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\""
+LITERAL_ITEM = LITERAL_STRING + r"|[+-]?[0-9]+(?:\.[0-9]+)?|True|False|None"
+_GAP = f"[{WS}]*"
+LITERAL_LIST = (rf"^{_GAP}(?:\[{_GAP}(?:(?:{LITERAL_ITEM}){_GAP}(?:,{_GAP}|(?=\])))*\]"
+                rf"|\({_GAP}\)|\({_GAP}(?:{LITERAL_ITEM}){_GAP},{_GAP}(?:(?:{LITERAL_ITEM}){_GAP}(?:,{_GAP}|(?=\))))*\)){_GAP}\z")
+
+
+def _unquoted(item) -> Column:
+    """A literal's text: quotes off, escapes resolved, numbers and names as written."""
+    body = F.substr(item, F.lit(2), F.length(item) - 2)
+    for raw, escaped in [("\u0002", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("'", "\\'"), ('"', '\\"'), ("\\", "\u0002")]:
+        body = F.replace(body, F.lit(escaped), F.lit(raw))
+    return F.when(item.startswith("'") | item.startswith('"'), body).otherwise(item)
 
 
 # escapes of a quoted list item, backslash first

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import html.entities
 import os
 import re
 
@@ -49,10 +50,6 @@ THREE_CLASS_NON_IMPORTANT = ["factual não importante", "factual nao importante"
 BINARY_POSITIVE = ["1", "true", "factual", "fact", "fato", "verdadeiro"]
 BINARY_NEGATIVE = ["0", "false", "non-factual", "nonfactual", "nao-factual",
                    "não-factual", "fake", "boato", "falso"]
-# HTML entities decoded in page text (&amp; is decoded last).
-HTML_ENTITIES = [("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
-                 ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 # Prompt prefix for generative summarisers.
 SUMMARY_PROMPT = "Summarize the following text: "
 # ---------------------------------------------------------------------------
@@ -62,6 +59,11 @@ def _alternative_regex(phrase: str) -> str:
     return re.escape(phrase).replace("\\ ", " ")
 
 
+def html_entities() -> dict:
+    """The named entities of HTML 4, plus ``apos``: name to character."""
+    return {**{name: chr(code) for name, code in html.entities.name2codepoint.items()}, "apos": "'"}
+
+
 def connective_group() -> str:
     """``(alt1|alt2|...)`` with literal dots escaped."""
     return "(" + "|".join(_alternative_regex(p) for p in CONNECTIVES) + ")"

@@ -24,26 +24,22 @@ def require_columns(df: DataFrame, cols: list, strict: bool = True) -> bool:
 
 
 def infer_text_column(df: DataFrame, user_col: str | None = None) -> str:
-    """The user's column (case-insensitive), else the first candidate
-    name present (exact, then case-insensitive), else the first string
-    column; error when none fits."""
-    cols = df.columns
-    low = {c.lower(): c for c in cols}
-    if user_col:
-        if user_col in cols:
-            return user_col
-        if user_col.lower() in low:
-            return low[user_col.lower()]
-        raise KeyError(f"column '{user_col}' not found: {cols}")
-    for cand in vocab.TEXT_COLUMN_CANDIDATES:
-        if cand in cols:
-            return cand
-        if cand.lower() in low:
-            return low[cand.lower()]
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType)):
-            return f.name
-    raise KeyError(f"cannot infer the text column: {cols}")
+    """Every column gets the rank of the best rule it meets, the lowest
+    rank wins.  With ``user_col``: that name, then that name in another case.
+    Without: each candidate name (as written before another case), then any
+    string column."""
+    wanted = [user_col] if user_col else vocab.TEXT_COLUMN_CANDIDATES
+    order = {name: i for i, name in reversed(list(enumerate(wanted)))}
+    folded = {name.lower(): i for name, i in sorted(order.items(), key=lambda x: -x[1])}
+    ranked = []
+    for at, f in enumerate(df.schema.fields):
+        ranked += [(order[f.name], 0, at)] if f.name in order else []
+        ranked += [(folded[f.name.lower()], 1, at)] if f.name.lower() in folded else []
+        if not user_col and isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType)):
+            ranked.append((len(wanted), 2, at))
+    if not ranked:
+        raise KeyError(f"no text column{f' named {user_col}' if user_col else ''} among {df.columns}")
+    return df.columns[min(ranked)[2]]
 
 
 def require_nonempty(df: DataFrame, what: str = "result") -> DataFrame:

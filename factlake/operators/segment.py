@@ -92,7 +92,7 @@ def cosine(a, b) -> Column:
 
 
 def similarity_segments(vectors: DataFrame, group: str = "label", order: str = "vec_id",
-                        vec: str = "embedding", bucket_width: int | None = None) -> DataFrame:
+                        vec: str = "embedding", n_buckets: int | None = None) -> DataFrame:
     """Cosine of consecutive vectors within a group; a break follows
     position i when ``sim_i < mean(sim) - std_pop(sim)`` (strict); segment
     id = number of breaks before the vector.
@@ -102,7 +102,7 @@ def similarity_segments(vectors: DataFrame, group: str = "label", order: str = "
     neighbours from an equi-join on ``(group, pos + 1)``, the threshold
     from a grouped aggregate and segment ids from a bucketed prefix sum.
     """
-    v = scan.range_bucket(vectors.select(group, order, vec), order, "_b", width=bucket_width)
+    v = scan.range_bucket(vectors.select(group, order, vec), [group], [order], "_b", n_buckets)
     ranked = scan.rank_within(v, [group], "_b", [F.col(order)], "pos")
     nxt = ranked.select(group, (F.col("pos") - 1).alias("pos"), F.col(vec).alias("_next"))
     sims = (ranked.join(nxt, [group, "pos"], "left")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from factlake.functions import vocab
 
+# white space beyond ASCII counts, as in Python
+WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TOKEN2 = r"[\p{L}\p{M}\p{N}_]{2,}"
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 
@@ -20,12 +22,12 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
 def sentences(x: str) -> str:
     return (f"string_split(regexp_replace({strip(f'coalesce({x}, {q(str())})')}, "
-            f"'([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))")
+            f"'([.?!])[{WS}]+', '\\1' || chr(1), 'g'), chr(1))")
 
 
 def tokens(x: str) -> str:
@@ -137,9 +139,14 @@ def squash(x: str) -> str:
     return f"lower({strip(f'regexp_replace({x}, {q(chr(92) + 's+')}, {q(chr(32))}, {q(chr(103))})')})"
 
 
+# the entities that occur in ``pages``; &amp; last, so that nothing is decoded twice
+PAGE_ENTITIES = [("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&#39;", "'"),
+                 ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
 def unescape(x: str) -> str:
     out = x
-    for ent, ch in vocab.HTML_ENTITIES:
+    for ent, ch in PAGE_ENTITIES:
         out = f"replace({out}, {q(ent)}, {q(ch)})"
     return out
 
@@ -159,7 +166,7 @@ def page_text(h: str) -> str:
 
 def chunks(x: str, m: int = 1200) -> str:
     t = strip(f"coalesce({x}, '')")
-    sents = f"string_split(regexp_replace(_t, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    sents = f"string_split(regexp_replace(_t, '([.?!])[{WS}]+', '\\1' || chr(1), 'g'), chr(1))"
     buf = "regexp_extract(acc, '[^\\x02]*$')"
     pre = "regexp_replace(acc, '[^\\x02]*$', '')"
     step = (f"lambda acc, s: CASE WHEN length({buf}) + length(s) + 1 <= {m} "
@@ -437,7 +444,7 @@ SELECT modelo, metric, n, round(mean, 6) AS mean, round(q1, 6) AS q1, round(med,
        round(whislo, 6) AS whislo, round(whishi, 6) AS whishi, CAST(n_outliers AS BIGINT) AS n_outliers
 FROM bw JOIN bo USING (modelo, metric)"""
 
-WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
+WORDS = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^{WS}\p{{L}}\p{{M}}\p{{N}}_]"
 FREQ_KW = f"""WITH w AS (SELECT doc_id, CAST(generate_subscripts(_w, 1) - 1 AS BIGINT) AS pos, lower(unnest(_w)) AS term
   FROM (SELECT doc_id, regexp_extract_all(text, {q(WORDS)}) AS _w FROM documents)),
 f AS (SELECT doc_id, term, count(*) AS cnt, min(pos) AS first_pos FROM w

@@ -1,52 +1,65 @@
-"""Sources and sinks (S01-S15).  Every reader returns a DataFrame with an
-explicit key column; no row identity depends on file position."""
+"""Sources and sinks (S01-S15).  Line sources number their lines; every other
+reader keeps the key columns of its input."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.functions import text as T
 
 
-def read_lines(spark: SparkSession, path: str, keep_blank: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """One document per line, stripped, with ``doc_id`` = line
-    number (0-based, in file order).  The text reader keeps each line's raw
-    bytes, so another charset (e.g. ISO-8859-1, which cannot fail) is
-    applied with ``decode`` on those bytes; blank lines are kept.  The line
-    number comes from ``zipWithIndex`` (no global window)."""
-    raw = spark.read.text(path)
-    if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
-        line = F.col("value")
+def _utf8_files(lines: DataFrame) -> DataFrame:
+    """``(file_path, ok)``: files of which every line is valid UTF-8."""
+    return lines.groupBy("file_path").agg(F.bool_and(F.coalesce(F.is_valid_utf8("value"), F.lit(True))).alias("ok"))
+
+
+def read_lines(spark: SparkSession, path: str, keep_blank: bool = True, encoding: str | None = None,
+               fallback: str = "ISO-8859-1") -> DataFrame:
+    """One document per line, stripped, with ``doc_id`` = line number
+    (0-based, in the order of file names and lines).
+
+    Without ``encoding`` a file is read as UTF-8 if all of it is valid UTF-8,
+    else with ``fallback`` (ISO-8859-1 cannot fail).  Lines are numbered from
+    the counts of the file splits: one small row per split gets its offset,
+    the lines themselves are neither sorted nor moved to one task.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"),
+                                       F.col("_metadata.file_block_start").alias("start"))
+    raw = raw.withColumn("at", F.monotonically_increasing_id())
+    per = raw.groupBy("file_path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file_path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("file_path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    lines = raw.join(per, ["file_path", "start"])
+    raw_bytes = F.col("value").cast("binary")
+    if encoding:
+        line = F.col("value") if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8") else F.decode(raw_bytes, encoding)
     else:
-        line = F.decode(F.col("value").cast("binary"), encoding)
-    raw = raw.select(line.alias("line"))
-    idx = raw.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])).toDF("doc_id long, line string")
-    out = idx.select("doc_id", T.strip("line").alias("text"))
+        lines = lines.join(_utf8_files(raw), "file_path")
+        line = F.when(F.col("ok"), F.col("value")).otherwise(F.decode(raw_bytes, fallback))
+    out = lines.select((F.col("offset") + F.col("at") - F.col("first")).alias("doc_id"), T.strip(line).alias("text"))
     return out if keep_blank else out.where(F.length("text") > 0)
 
 
-def read_csv_fallback(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> DataFrame:
+def read_csv_fallback(spark: SparkSession, path: str, fallback: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
     """CSV files that are valid UTF-8 are read as UTF-8, the others with
-    ``fallback``; a whole-file decision, as in the source.  Validity is
-    checked per line in parallel (``is_valid_utf8`` over the raw line
-    bytes) and reduced per file; only file names reach the driver."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.is_valid_utf8("value").alias("ok"))
-    per_file = lines.groupBy("f").agg(F.bool_and("ok").alias("ok")).collect()
-    good = [r["f"] for r in per_file if r["ok"]]
-    bad = [r["f"] for r in per_file if not r["ok"]]
-    parts = []
-    if good:
-        parts.append(read_table(spark, good))
-    if bad:
-        parts.append(spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-                     .option("encoding", fallback).option("inferSchema", True).csv(bad))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    ``fallback``: a decision per whole file, made by a join on the file's name,
+    so no list of files reaches the driver."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    ok = _utf8_files(lines)
+    schema = _csv(spark, multi_line).option("encoding", fallback).option("inferSchema", True).csv(path).schema
+    # names of columns are taken from the files that are UTF-8, if there are any
+    names = _csv(spark, multi_line).csv(path).schema.names
+
+    def part(encoding, which):
+        d = _csv(spark, multi_line).option("encoding", encoding).schema(schema).csv(path)
+        d = d.select("*", F.col("_metadata.file_path").alias("_file"))
+        return d.join(ok.where(which), F.col("_file") == F.col("file_path"), "left_semi").drop("_file")
+
+    out = part("UTF-8", F.col("ok")).unionAll(part(fallback, ~F.col("ok")))
+    return out.toDF(*names) if len(names) == len(out.columns) else out
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -60,22 +73,30 @@ def select_ordinal(df: DataFrame, k: int) -> DataFrame:
     return df.select(df.columns[k])
 
 
-def read_table(spark: SparkSession, path: str, header: bool = True, schema=None) -> DataFrame:
-    """Header-row delimited file (CSV) or columnar file (parquet)."""
+def _csv(spark: SparkSession, multi_line: bool = False, header: bool = True):
+    r = spark.read.option("header", header).option("escape", '"')
+    return r.option("multiLine", True) if multi_line else r
+
+
+def read_table(spark: SparkSession, path: str, header: bool = True, schema=None, multi_line: bool = False) -> DataFrame:
+    """Header-row delimited file (CSV) or columnar file (parquet).
+    Only ``multi_line`` lets cells hold line breaks; without it large files
+    are read in many tasks."""
     if isinstance(path, str) and path.lower().endswith(".parquet"):
         return spark.read.parquet(path)
-    r = spark.read.option("header", header).option("multiLine", True).option("escape", '"')
+    r = _csv(spark, multi_line, header)
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
 
 
+FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json"}
+
+
 def detect_format(path: str) -> str:
-    """Csv / json (also .jsonl), case-insensitive; else error."""
-    low = path.lower()
-    if low.endswith(".csv"):
-        return "csv"
-    if low.endswith(".jsonl") or low.endswith(".json"):
-        return "json"
-    raise ValueError("unsupported format (use .csv, .json or .jsonl)")
+    """The format of a file name's suffix, in either case."""
+    suffix = os.path.splitext(path)[1].lower()
+    if suffix not in FORMATS:
+        raise ValueError(f"no reader for '{suffix}' files; known: {', '.join(FORMATS)}")
+    return FORMATS[suffix]
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -99,9 +120,11 @@ def read_splits(spark: SparkSession, paths: dict, fmt: str | None = None) -> Dat
     return out
 
 
-def peek(df: DataFrame, n: int = 5) -> DataFrame:
-    """First ``n`` rows (a limit is the feature here)."""
-    return df.limit(n)
+def peek(df: DataFrame, n: int = 5, order: list | None = None) -> DataFrame:
+    """First ``n`` rows (a limit is the feature here), by ``order`` or
+    else by all columns that can be ordered, so that reruns agree."""
+    order = order or [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return df.orderBy(*order).limit(n)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from factlake.operators import schema
 from factlake.sources import io
@@ -71,3 +72,44 @@ def test_csv_charset_fallback_and_pages(spark):
     assert "fetch_failed" in pages.columns
     assert pages.where("fetch_failed").count() == pages.where("html IS NULL").count()
     assert io.select_ordinal(pages, 1).columns == ["url"]
+
+
+def test_line_numbers_and_charset_per_file(spark):
+    d = tempfile.mkdtemp(prefix="factlake io-")
+    lines = [f"linha {i}" for i in range(5000)]
+    with open(os.path.join(d, "a b.txt"), "w", encoding="utf-8") as f:
+        f.write("\n".join([*lines, "fim ção"]) + "\n")
+    with open(os.path.join(d, "c.txt"), "wb") as f:
+        f.write("ação\n".encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = {r["doc_id"]: r["text"] for r in io.read_lines(spark, d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate([*lines, "fim ção", "ação"]))
+
+
+def test_csv_file_names_with_spaces(spark):
+    d = tempfile.mkdtemp(prefix="factlake-io-")
+    with open(os.path.join(d, "a b.csv"), "wb") as f:
+        f.write("text,label\ncoração,0\n".encode("latin-1"))
+    assert [(r["text"], r["label"]) for r in io.read_csv_fallback(spark, d).collect()] == [("coração", 0)]
+    with open(os.path.join(d, "m.csv"), "w") as f:
+        f.write('text,label\n"a\nb",1\n')
+    assert io.read_table(spark, os.path.join(d, "m.csv"), multi_line=True).first()["text"] == "a\nb"
+    assert io.peek(spark.range(9).orderBy(F.desc("id")), 3).collect()[0]["id"] == 0
+
+
+def test_shared_folder_is_required_off_local(spark, monkeypatch):
+    from factlake import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Cluster)

@@ -37,7 +37,7 @@ def test_similarity_segments_vs_brute_force(spark):
         expect.update({(g, int(i)): s for i, s in zip(ids, brute_segments(list(vecs)))})
     df = spark.createDataFrame(rows, "label int, vec_id long, embedding array<double>")
     got = {(r["label"], r["vec_id"]): r["segment"] for r in
-           segment.similarity_segments(df, bucket_width=16).collect()}
+           segment.similarity_segments(df, n_buckets=16).collect()}
     assert got == expect
 
 
