@@ -33,47 +33,66 @@ def freq_keywords(docs: DataFrame, stop: list, k: int = 10, text_col: str = "tex
              .select(key, F.col("rank").cast("bigint").alias("rank"), "term", "cnt"))
 
 
-def _ngrams(arr: Column, n_max: int) -> Column:
-    """Distinct n-grams (1..n_max) as space-joined strings.  Deduplicated
-    as strings (hash based); tokens hold no spaces, so ``split`` restores
-    the token list."""
-    per_n = [F.when(F.size(arr) >= n, F.transform(F.sequence(F.lit(0), F.size(arr) - n),
-                                                  lambda i: F.array_join(F.slice(arr, i + 1, n), " ")))
-             .otherwise(F.array().cast("array<string>")) for n in range(1, n_max + 1)]
-    return F.array_distinct(F.flatten(F.array(*per_n)))
+def bucket_counts(buckets, dims: int = DIMS) -> Column:
+    """How often each bucket 0..dims-1 occurs in an array of buckets."""
+    b = F.col(buckets) if isinstance(buckets, str) else buckets
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")),
+                       lambda i: F.size(b) - F.size(F.array_remove(b, i)))
+
+
+def _scored_grams(words: Column, buckets: Column, counts: Column, norm: Column, n: int) -> Column:
+    """``(-score, keyword)`` of every run of ``n`` words: the cosine of its
+    bucket counts with the text's."""
+    def one(i):
+        at = [F.element_at(buckets, (i + j).cast("int")) for j in range(n)]
+        dot = sum((F.element_at(counts, (b + 1).cast("int")) for b in at[1:]), F.element_at(counts, (at[0] + 1).cast("int")))
+        same = sum((F.when(at[j] == at[k], 2).otherwise(0) for j in range(n) for k in range(j)), F.lit(n))
+        return F.struct((-F.round(dot / (F.sqrt(same) * norm), 6)).alias("s"),
+                        F.array_join(F.slice(words, i, n), " ").alias("k"))
+
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), one)
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<struct<s:double,k:string>>"))
+
+
+def embed_keyword_rows(texts: DataFrame, keep: list, stop: list, n_max: int = 1, top_n: int = 5,
+                       text_col: str = "text", dims: int = DIMS) -> DataFrame:
+    """C07 per row: the ``keep`` columns plus ``keywords
+    array<struct<s, k>>``, the ``top_n`` best candidates as (-score, keyword).
+
+    Candidates are n-grams (1..``n_max`` tokens, formed after stop-word
+    removal) ranked by cosine to the text's embedding, ties in keyword order.
+    Default embedder: hashed bag of tokens (``dims`` buckets).  Every token's
+    bucket is computed once; the text's bucket counts, the candidates (slices
+    of the token array), their scores and the ranking all stay in the text's
+    own row, so nothing is shuffled.
+    """
+    d = texts.select(*keep, T.tokens(text_col).alias("_t"))
+    d = d.select(*keep, "_t", F.transform("_t", lambda t: hash_bucket(t, dims)).alias("_b"))
+    stop_set = list(stop)
+    kept = F.filter(F.arrays_zip("_t", "_b"), lambda z: ~z["_t"].isin(stop_set)) if stop_set else F.arrays_zip("_t", "_b")
+    d = d.select(*keep, bucket_counts("_b", dims).alias("_c"), kept.alias("_z"))
+    norm = F.sqrt(F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: a + c.cast("bigint") * c))
+    d = d.select(*keep, "_c", norm.alias("_n"), F.transform("_z", lambda z: z["_t"]).alias("_w"), F.transform("_z", lambda z: z["_b"]).alias("_b"))
+    grams = F.concat(*[_scored_grams(F.col("_w"), F.col("_b"), F.col("_c"), F.col("_n"), n) for n in range(1, n_max + 1)])
+    d = d.select(*keep, F.array_sort(grams).alias("_g"))
+    # equal keywords have equal scores, so they stand side by side
+    first = F.filter("_g", lambda g, i: (i == 0) | (F.get("_g", i - 1)["k"] != g["k"]))
+    return d.select(*keep, F.slice(first, 1, top_n).alias("keywords"))
 
 
 def embed_keywords(texts: DataFrame, keys: list, stop: list, n_max: int = 1, top_n: int = 5,
-                   text_col: str = "text", dims: int = DIMS, doc_key: str = "doc_id") -> DataFrame:
-    """Candidate n-grams (1..``n_max`` tokens, formed after stop-word
-    removal) ranked by cosine to the text's embedding.
-
-    Default embedder: hashed bag of tokens (``dims`` buckets).  The text's
-    vector is a grouped count per (text, bucket), kept as a map of at most
-    ``dims`` entries; each candidate is scored in its own row against that
-    map (dot = sum of the text's counts at the candidate's buckets,
-    |candidate|^2 = sum of bucket multiplicities), so no candidate-level
-    aggregate or join is needed.  Ties -> keyword order.
-    Returns ``<keys..., rank, keyword, score>``.
-    """
-    d = by_doc(texts.select(*keys, text_col), doc_key).select(*keys, T.tokens(text_col).alias("toks"))
-    dv = (d.select(*keys, F.explode("toks").alias("t"))
-           .groupBy(*keys, hash_bucket("t", dims).alias("b")).agg(F.count(F.lit(1)).alias("dv"))
-           .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "dv"))).alias("dvm"),
-                               F.sqrt(F.sum(F.col("dv") * F.col("dv"))).alias("dnorm")))
-    # the filtered token list is its own column: referenced many times by the
-    # n-gram expression, it is then computed once per text, not per n-gram
-    ft = d.select(*keys, T.remove_stop_words("toks", stop).alias("ft"))
-    grams = ft.select(*keys, F.explode(_ngrams(F.col("ft"), n_max)).alias("keyword"))
-    g = grams.select(*keys, "keyword",
-                     F.transform(F.split("keyword", " "), lambda t: hash_bucket(t, dims)).alias("bs")).join(dv, keys)
-    dot = F.aggregate("bs", F.lit(0).cast("bigint"), lambda acc, b: acc + F.coalesce(F.try_element_at("dvm", b), F.lit(0)))
-    cn = F.aggregate(F.transform("bs", lambda x: F.size(F.filter("bs", lambda y: y == x))), F.lit(0),
-                     lambda acc, c: acc + c)
-    sc = g.withColumn("score", F.round(dot / (F.sqrt(cn) * F.col("dnorm")), 6))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("keyword"))
-    return (sc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-              .select(*keys, F.col("rank").cast("bigint").alias("rank"), "keyword", "score"))
+                   text_col: str = "text", dims: int = DIMS) -> DataFrame:
+    """C07 as a long table ``<keys..., rank, keyword, score>``."""
+    d = embed_keyword_rows(texts, keys, stop, n_max, top_n, text_col, dims)
+    # outer: the filter that a plain explode implies would be pushed below the
+    # projections above, and their expressions written into it over and over
+    d = d.select(*keys, F.posexplode_outer("keywords").alias("_i", "_g")).where("_g IS NOT NULL")
+    return d.select(*keys, (F.col("_i") + 1).cast("bigint").alias("rank"), F.col("_g.k").alias("keyword"), (-F.col("_g.s")).alias("score"))
+
+
+def keyword_names(keywords="keywords") -> Column:
+    """The lower-cased distinct keywords of an array of (-score, keyword)."""
+    return F.array_distinct(F.transform(keywords, lambda g: F.lower(g["k"])))
 
 
 def keyword_sets(ranked: DataFrame, keys: list, out: str = "kw") -> DataFrame:
@@ -97,3 +116,25 @@ def noun_phrases(tagged: DataFrame, stop: list, keys: list, pos: str = "pos", wo
                   F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(word).alias("w")))).alias("_x"))
              .select(*keys, F.col("start").cast("bigint").alias("start"),
                      F.array_join(F.transform("_x", lambda s: s["w"]), " ").alias("phrase")))
+
+
+def keyword_bundle(docs: DataFrame, tagged: DataFrame, stop: list, embed_stop: list, k: int = 10, embed_k: int = 5,
+                   text_col: str = "text", key: str = "doc_id") -> DataFrame:
+    """Noun phrases, frequent words, TF-IDF words and embedding keywords
+    of every document, each list in its rank order.  The TF-IDF words (C05)
+    come from the noun phrases, or from the text itself where there are none.
+    ``tagged`` holds the documents' tokens ``<key, sid, pos, word, tag>``."""
+    def in_order(df, order, col, out):
+        return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, col))), lambda s: s[col]).alias(out))
+
+    from factlake.operators import tfidf
+    phrases = in_order(noun_phrases(tagged, stop, [key, "sid"]), ["sid", "start"], "phrase", "noun_phrases")
+    d = docs.select(key, text_col).join(phrases, key, "left")
+    joined = F.coalesce(F.array_join("noun_phrases", " "), F.col(text_col)).alias("text")
+    words = in_order(tfidf.tfidf_keywords(by_doc(d.select(key, joined)), list(stop), k, key=key), ["rank"], "term", "tfidf_words")
+    frequent = in_order(freq_keywords(docs, stop, k, text_col, key), ["rank"], "term", "frequent_words")
+    near = embed_keyword_rows(d.select(key, text_col, "noun_phrases"), [key, "noun_phrases"], embed_stop, 1, embed_k, text_col)
+    out = near.join(frequent, key, "left").join(words, key, "left")
+    none = F.array().cast("array<string>")
+    return out.select(key, *[F.coalesce(c, none).alias(c) for c in ("noun_phrases", "frequent_words", "tfidf_words")],
+                      F.coalesce(F.transform("keywords", lambda g: g["k"]), none).alias("embedding_words"))

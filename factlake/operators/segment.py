@@ -50,13 +50,21 @@ def factual_share(docs: DataFrame, text_col: str = "text", key="doc_id",
         return docs.select(*keys, F.size(parts).cast("bigint").alias("n_segments"),
                            F.lit(None).cast("bigint").alias("n_factual"),
                            F.lit(None).cast("double").alias("factual_share"))
-    labels = F.transform(parts, lambda p: label_fn(p))
-    n_fact = F.size(F.filter(labels, lambda l: F.lower(l) == FACTUAL))
+    n_fact = _n_factual(parts, label_fn)
     d = docs.select(*keys, F.size(parts).cast("bigint").alias("n_segments"), n_fact.cast("bigint").alias("n_factual"))
     return d.withColumn("factual_share", F.when(F.col("n_segments") == 0, F.lit(0.0))
                         .otherwise(F.col("n_factual") / F.col("n_segments")))
 
 
+def _n_factual(parts: Column, label_fn) -> Column:
+    return F.size(F.filter(F.transform(parts, lambda p: label_fn(p)), lambda x: F.lower(x) == FACTUAL))
+
+
+def share_of(parts: Column, label_fn=rule_label) -> Column:
+    """A02 as an expression: the share of factual segments, 0.0 without any."""
+    return F.when(F.size(parts) == 0, F.lit(0.0)).otherwise(_n_factual(parts, label_fn) / F.size(parts))
+
+
 def factual_segments(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
                      label_fn=rule_label, sep: str = " | ") -> DataFrame:
     """Segments labelled factual, in segment order, per text."""

@@ -635,6 +635,23 @@ SELECT ts.doc_id, ts.summary AS resumo, coalesce(kt.kw, '') AS palavras_chave_tf
 FROM ts LEFT JOIN kt USING (doc_id) LEFT JOIN ke USING (doc_id) JOIN qd USING (doc_id)"""
 SQL["news_record"] = NEWS
 
+_BUNDLE_TFIDF = tfidf_kw_sql("jt", "unido")
+SQL["keyword_bundle"] = "WITH " + tagger_ctes() + f""",
+tt AS (SELECT doc_id, sid, CAST(generate_subscripts(words, 1) - 1 AS BIGINT) AS pos, unnest(words) AS word,
+              unnest(string_split(tags, ' ')) AS tag FROM tg),
+np AS (SELECT *, coalesce(tag IN ('N', 'NPROP', 'ADJ') AND NOT list_contains({stop_list()}, lower(word)), false) AS inside FROM tt),
+il AS (SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sid ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM np),
+ph AS (SELECT doc_id, sid, min(pos) AS start, string_agg(word, ' ' ORDER BY pos) AS phrase FROM il WHERE inside GROUP BY doc_id, sid, island),
+pd AS (SELECT doc_id, string_agg(phrase, '; ' ORDER BY sid, start) AS noun_phrases, string_agg(phrase, ' ' ORDER BY sid, start) AS j FROM ph GROUP BY doc_id),
+jt AS (SELECT documents.doc_id, coalesce(pd.j, documents.text) AS unido FROM documents LEFT JOIN pd USING (doc_id)),
+kt AS (SELECT doc_id, string_agg(term, '; ' ORDER BY rank) AS kw FROM {_BUNDLE_TFIDF} GROUP BY doc_id),
+kf AS (SELECT doc_id, string_agg(term, '; ' ORDER BY rank) AS kw FROM ({FREQ_KW}) GROUP BY doc_id),
+ke AS (SELECT doc_id, string_agg(keyword, '; ' ORDER BY rank) AS kw FROM {embed_kw_sql('documents', ['doc_id'], 'text', 1, 5)} GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(pd.noun_phrases, '') AS noun_phrases, coalesce(kf.kw, '') AS frequent_words,
+       coalesce(kt.kw, '') AS tfidf_words, coalesce(ke.kw, '') AS embedding_words
+FROM documents LEFT JOIN pd USING (doc_id) LEFT JOIN kf USING (doc_id) LEFT JOIN kt USING (doc_id) LEFT JOIN ke USING (doc_id)"""
+
 CLAIM_GP = (f"(SELECT {gold_label('CAST(quality AS VARCHAR)')} AS gold, "
             f"CASE WHEN regexp_matches(text, '\\d') THEN 'factual' ELSE 'non-factual' END AS pred "
             f"FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL)")

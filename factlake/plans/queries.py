@@ -218,10 +218,9 @@ def _board(spark, sf):
 
 
 def doc_summary_cosine(spark, sf):
-    d = _docs(spark, sf)
-    pairs = by_doc(scoreboard.method_summaries(d).join(d.withColumnRenamed("text", "original"), "doc_id"))
-    return tfidf.pair_cosine(pairs, ["modelo", "doc_id"], "original", "summary",
-                             list(vocab.stop_words("portuguese")), "cosine")
+    d = by_doc(_docs(spark, sf))
+    return tfidf.doc_summary_cosine(d.withColumnRenamed("text", "original"), by_doc(scoreboard.method_summaries(d)),
+                                    list(vocab.stop_words("portuguese"))).select("modelo", "doc_id", "cosine")
 
 
 def keyword_jaccard(spark, sf):
@@ -229,16 +228,13 @@ def keyword_jaccard(spark, sf):
     item_id = doc_id; duplicate keys -> empty set) against the top-10
     1-3-gram keywords of each summary."""
     d = _rows(_docs(spark, sf))
-    # one doc_id-partitioned copy of the summaries feeds both branches
-    # (the exchange is reused, the summarisers run once)
-    summ = by_doc(scoreboard.method_summaries(d))
+    summ = scoreboard.method_summaries(d)
     bench = table(spark, sf, "benchmark")
     uniq = bench.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
     human = bench.join(uniq, "item_id").select(F.col("item_id").alias("doc_id"), T.keyword_set("text").alias("ko"))
-    kr = keywords.keyword_sets(keywords.embed_keywords(summ, ["modelo", "doc_id"], list(vocab.stop_words("english")),
-                                                       3, 10, "summary"), ["modelo", "doc_id"], "kr")
+    kr = keywords.embed_keyword_rows(summ, ["modelo", "doc_id"], list(vocab.stop_words("english")), 3, 10, "summary")
     empty = F.array().cast("array<string>")
-    j = (summ.select("modelo", "doc_id").join(human, "doc_id", "left").join(kr, ["modelo", "doc_id"], "left")
+    j = (kr.select("modelo", "doc_id", keywords.keyword_names().alias("kr")).join(human, "doc_id", "left")
              .select("modelo", "doc_id", F.coalesce("ko", empty).alias("ko"), F.coalesce("kr", empty).alias("kr")))
     return j.select("modelo", F.col("doc_id").alias("idx_texto"), F.round(T.jaccard("ko", "kr"), 6).alias("jaccard_kw"),
                     T.sorted_join("ko").alias("kw_orig"), T.sorted_join("kr").alias("kw_resumo"))
@@ -319,10 +315,9 @@ def wordpiece_rejoin(spark, sf):
 
 def _tagger(spark, sf):
     stop = vocab.stop_words("portuguese")
-    toks = tagger.token_table(_docs(spark, sf))
-    gold = tagger.rule_tags(toks, stop)
-    uni, bi = tagger.train(gold, ["doc_id", "sid"])
-    return toks, uni, bi
+    sents = tagger.sentence_words(_rows(_docs(spark, sf)))
+    uni, bi = tagger.train_sentences(tagger.rule_tagged_sentences(sents, stop))
+    return tagger.token_table(_docs(spark, sf)), uni, bi
 
 
 def pos_train(spark, sf):
@@ -344,7 +339,16 @@ def noun_phrases(spark, sf):
     return keywords.noun_phrases(tagged, vocab.stop_words("portuguese"), ["doc_id", "sid"])
 
 
+def keyword_bundle(spark, sf):
+    """C12 with C05 over noun phrases: four keyword lists per document."""
+    toks, uni, bi = _tagger(spark, sf)
+    tagged = tagger.tag(toks, uni, bi, ["doc_id", "sid"])
+    b = keywords.keyword_bundle(_docs(spark, sf), tagged, vocab.stop_words("portuguese"), vocab.stop_words("english"))
+    return b.select("doc_id", *[F.array_join(c, "; ").alias(c) for c in b.columns[1:]])
+
+
 QUERIES.update({
+    "keyword_bundle": keyword_bundle,
     "similarity_segments": similarity_segments,
     "wordpiece_rejoin": wordpiece_rejoin,
     "pos_train": pos_train,
@@ -424,6 +428,14 @@ def cluster_summary(spark, sf):
     return summarize.cluster_summary(_docs(spark, sf)).drop("tempo_s")
 
 
+def scoreboard_variants(spark, sf):
+    """C13/J04 with the cluster summariser's variants beside the others (no
+    SQL form: k-means); ``tempo_s`` is measured, so it is left out here."""
+    d = _docs(spark, sf)
+    s = scoreboard.registry_summaries(d, ["lead-3", "tfidf-top5", "cluster-0.2", "cluster-0.3"])
+    return scoreboard.scoreboard(d, s).drop("method_idx", "tempo_s")
+
+
 def _claim_data(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     data = lab.join(_docs(spark, sf), "doc_id")
@@ -448,6 +460,7 @@ def classify_report(spark, sf):
 
 QUERIES.update({
     "cluster_summary": cluster_summary,
+    "scoreboard_variants": scoreboard_variants,
     "classify_batch": classify_batch,
     "classify_report": classify_report,
 })
