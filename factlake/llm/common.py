@@ -27,11 +27,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def worker_state(name: str, make):
     """State that a Python worker keeps between tasks (caches, loaded
-    tokenizers).  It only saves time: results never depend on it."""
+    tokenizers), one at a time: the next operator's replaces it, so a worker
+    never holds more than one cache.  It only saves time: results never depend
+    on it."""
     holder = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    if getattr(holder, "name", None) != name:
+        holder.state = None
+        holder.name, holder.state = name, make()
+    return holder.state
 
 
 def coded(lists: list) -> tuple:

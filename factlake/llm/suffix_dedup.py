@@ -32,7 +32,7 @@ from factlake.session import checkpoint_dir
 LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM           # bytes of context on each side
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 250_000
 BUCKET_ROWS = 400_000
 CHUNK_ROWS = 32_768             # contexts of one gram that are compared in one task; beyond it Spark groups the windows
 _ODD = np.uint64(0x9E3779B97F4A7C15)

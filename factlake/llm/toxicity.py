@@ -291,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, max_feature
     # feature is kept when that outweighs twice the usual penalty for one more parameter
     k, n, rate = F.col("pos").cast("double"), F.col("n").cast("double"), F.col("all.pos") / F.col("all.n")
     ratio = 2 * (k * F.log(k / (n * rate)) + F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(0.0))
-    total = stats.where("feature = ''").select(F.struct("pos", "n").alias("all"))
-    names = [r["feature"] for r in stats.where("feature <> '' AND pos > 0").join(F.broadcast(total))
+    total = stats.where("feature = ''").select(F.struct("pos", "n")).scalar()
+    names = [r["feature"] for r in stats.where("feature <> '' AND pos > 0").withColumn("all", total)
              .where(k > n * rate).withColumn("ratio", ratio).where(F.col("ratio") >= 2 * F.log(F.col("all.n")))
              .orderBy(F.col("ratio").desc(), "feature").limit(max_features).select("feature").collect()]
     number = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
