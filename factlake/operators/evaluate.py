@@ -9,6 +9,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.session import cut_lineage
+
 
 def safe_name(label: str) -> str:
     return re.sub(r"\W+", "_", str(label)).strip("_")
@@ -48,17 +50,16 @@ def confusion_normalized(df: DataFrame, labels: list, gold: str = "gold", pred:
 
 
 def _per_class(df: DataFrame, labels, gold, pred) -> DataFrame:
-    pc = pair_counts(df, gold, pred)
-    if labels is None:
-        lab = pc.select(F.col("gold").alias("label")).union(pc.select(F.col("pred").alias("label"))) \
-                .where(F.col("label").isNotNull()).distinct()
-    else:
-        lab = _label_table(df.sparkSession, labels).select("label")
-    tp = pc.where(F.col("gold") == F.col("pred")).groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("tp"))
-    g = pc.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("gold_n"))
-    p = pc.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("pred_n"))
-    m = (lab.join(tp, "label", "left").join(g, "label", "left").join(p, "label", "left")
-            .na.fill(0, ["tp", "gold_n", "pred_n"]))
+    # a pair counts once for its gold label and once for its predicted one: one
+    # pass over the data, then one over at most labels x labels rows
+    pc, none = pair_counts(df, gold, pred), F.lit(0).cast("bigint")
+    hit = F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(none)
+    sides = F.array(F.struct(F.col("gold").alias("label"), hit.alias("tp"), F.col("n").alias("gold_n"), none.alias("pred_n")),
+                    F.struct(F.col("pred").alias("label"), none.alias("tp"), none.alias("gold_n"), F.col("n").alias("pred_n")))
+    m = pc.select(F.explode(sides).alias("s")).select("s.*").where("label IS NOT NULL").groupBy("label").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "gold_n", "pred_n")])
+    if labels is not None:
+        m = _label_table(df.sparkSession, labels).select("label").join(m, "label", "left").na.fill(0, ["tp", "gold_n", "pred_n"])
     prec = F.when(F.col("pred_n") == 0, F.lit(0.0)).otherwise(F.col("tp") / F.col("pred_n"))
     rec = F.when(F.col("gold_n") == 0, F.lit(0.0)).otherwise(F.col("tp") / F.col("gold_n"))
     m = m.withColumn("precision", prec).withColumn("recall", rec)
@@ -71,7 +72,7 @@ def class_report(df: DataFrame, labels: list | None = None, gold: str = "gold",
                  digits: int = 6) -> DataFrame:
     """Precision / recall / F1 / support per class, then the accuracy,
     macro-average and support-weighted-average rows."""
-    pc = _per_class(df, labels, gold, pred)
+    pc = cut_lineage(_per_class(df, labels, gold, pred))     # a row per class, read four times
     r = lambda c: F.round(c, digits)
     per = pc.select(F.col("label").alias("row_label"), r(F.col("precision")).alias("precision"),
                     r(F.col("recall")).alias("recall"), r(F.col("f1")).alias("f1"), "support")

@@ -3,8 +3,8 @@ operators, one document shuffle for the centrality chain at scale."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF001
+from factlake.plans import queries as E
 
 EXPRESSION_QUERIES = ["clause_split", "after_que_clauses", "quoted_spans", "page_paragraphs", "text_chunks",
                       "factual_share", "normalize_gold", "sentence_centrality_top5"]
@@ -14,17 +14,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_no_cartesian(spark, name):
-    if name in ("classify_batch", "classify_report", "boxplot_stats"):
-        pytest.skip("runs a job while planning")
-    p = plan(E.queries()[name](spark, SF001))
+    p = plan(E.QUERIES[name](spark, SF001))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
 @pytest.mark.parametrize("name", EXPRESSION_QUERIES)
 def test_no_python_in_expression_operators(spark, name):
-    p = plan(E.queries()[name](spark, SF001))
+    p = plan(E.QUERIES[name](spark, SF001))
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p and "FlatMapGroupsInPandas" not in p
 
 
@@ -34,7 +32,7 @@ def test_centrality_single_document_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        p = plan(E.queries()["sentence_centrality_top5"](spark, SF001))
+        p = plan(E.QUERIES["sentence_centrality_top5"](spark, SF001))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -42,11 +40,9 @@ def test_centrality_single_document_shuffle(spark):
     assert exchanges and all("REPARTITION_BY_NUM" in ln or "ReusedExchange" in ln for ln in exchanges), exchanges
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_no_single_partition_window(spark, name):
     """Every window has a partition key (no window over a whole table)."""
     import re
-    if name in ("classify_batch", "classify_report", "boxplot_stats"):
-        pytest.skip("runs a job while planning")
-    p = plan(E.queries()[name](spark, SF001))
+    p = plan(E.QUERIES[name](spark, SF001))
     assert not re.search(r"Window \[.*\], \[\], \[", p), [ln for ln in p.splitlines() if "Window [" in ln]
