@@ -634,6 +634,8 @@ SELECT ts.doc_id, ts.summary AS resumo, coalesce(kt.kw, '') AS palavras_chave_tf
        coalesce(ke.kw, '') AS palavras_chave_emb, qd.termos_relevantes
 FROM ts LEFT JOIN kt USING (doc_id) LEFT JOIN ke USING (doc_id) JOIN qd USING (doc_id)"""
 SQL["news_record"] = NEWS
+SQL["classify_model"] = ("SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'factual' ELSE 'non-factual' END AS label, "
+                         "CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
 
 _BUNDLE_TFIDF = tfidf_kw_sql("jt", "unido")
 SQL["keyword_bundle"] = "WITH " + tagger_ctes() + f""",
