@@ -634,6 +634,10 @@ SELECT ts.doc_id, ts.summary AS resumo, coalesce(kt.kw, '') AS palavras_chave_tf
        coalesce(ke.kw, '') AS palavras_chave_emb, qd.termos_relevantes
 FROM ts LEFT JOIN kt USING (doc_id) LEFT JOIN ke USING (doc_id) JOIN qd USING (doc_id)"""
 SQL["news_record"] = NEWS
+_LINE = strip("translate(text, chr(10) || chr(13), '  ')")
+SQL["source_roundtrip"] = f"""SELECT source, value, count(*) AS n FROM (
+SELECT 'csv' AS source, concat_ws(',', doc_id, quality, toxic) AS value FROM labels
+UNION ALL SELECT 'lines', md5({_LINE}) FROM documents) GROUP BY ALL"""
 SQL["classify_model"] = ("SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'factual' ELSE 'non-factual' END AS label, "
                          "CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
 

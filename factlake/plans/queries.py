@@ -520,3 +520,24 @@ def claim_eval_report(spark, sf):
 
 
 QUERIES["claim_eval_report"] = claim_eval_report
+
+
+def source_roundtrip(spark, sf):
+    """``labels`` through a CSV file, and the documents,
+    one per line, through a text file; both written to the shared folder and
+    read again."""
+    import os
+    import uuid
+
+    from factlake.session import checkpoint_dir
+    from factlake.sources import io
+    folder = os.path.join(checkpoint_dir(spark), f"sources-{uuid.uuid4().hex}")
+    io.write_table(table(spark, sf, "labels"), f"{folder}/labels", "csv")
+    io.write_lines(_docs(spark, sf).select(F.translate("text", "\n\r", "  ").alias("text")), f"{folder}/lines")
+    lab = io.read_table(spark, f"{folder}/labels").select(
+        F.lit("csv").alias("source"), F.concat_ws(",", "doc_id", "quality", "toxic").alias("value"))
+    lines = io.read_lines(spark, f"{folder}/lines").select(F.lit("lines").alias("source"), F.md5("text").alias("value"))
+    return lab.unionByName(lines).groupBy("source", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["source_roundtrip"] = source_roundtrip

@@ -63,3 +63,25 @@ def test_noun_phrases(spark):
     df = spark.createDataFrame(rows, "doc_id long, sid long, pos long, word string, tag string")
     got = sorted((r["start"], r["phrase"]) for r in keywords.noun_phrases(df, ["de", "o"], ["doc_id", "sid"]).collect())
     assert got == [(1, "gato preto"), (5, "Lisboa")]
+
+
+def test_sentence_training_equals_token_training(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(30)
+    stop = ["de", "la"]
+    toks = tagger.rule_tags(tagger.token_table(docs), stop)
+    a = tagger.train(toks, ["doc_id", "sid"])
+    b = tagger.train_sentences(tagger.rule_tagged_sentences(tagger.sentence_words(docs), stop))
+    for x, y in zip(a, b):
+        cols = sorted(x.columns)
+        assert sorted(map(tuple, x.select(cols).collect())) == sorted(map(tuple, y.select(cols).collect()))
+
+
+def test_keyword_bundle_uses_the_text_without_noun_phrases(spark):
+    from factlake.operators import keywords
+    docs = spark.createDataFrame([(1, "a casa bela fica longe"), (2, "corre muito"), (3, None)], "doc_id long, text string")
+    tags = spark.createDataFrame([(1, 0, 0, "a", "ART"), (1, 0, 1, "casa", "N"), (1, 0, 2, "bela", "ADJ"), (1, 0, 3, "fica", "V"), (1, 0, 4, "longe", "ADV"),
+                                  (2, 0, 0, "corre", "V"), (2, 0, 1, "muito", None)], "doc_id long, sid long, pos long, word string, tag string")
+    got = {r.doc_id: r for r in keywords.keyword_bundle(docs, tags, ["a"], []).collect()}
+    assert got[1].noun_phrases == ["casa bela"] and got[1].tfidf_words == ["bela", "casa"]
+    assert got[2].noun_phrases == [] and got[2].tfidf_words == ["corre", "muito"] and got[2].frequent_words == ["corre", "muito"]
+    assert len(got[1].embedding_words) == 4 and got[3].tfidf_words == [] and got[3].embedding_words == []
