@@ -32,7 +32,8 @@ LOOK_COST, DROP_COST, REPEAT_COST, KEEP_COST = 1.5, 0.5, 0.3, 2.0
 BEGINNINGS = (4, 5, 6)      # lengths of word beginnings that are features
 LONGEST = 40                # a longer token is no word: its lattice is decoded in stretches of this length
 SYMBOLS = 32                # 0 space, 1..26 letters, 27 other signs, 28 other letters
-CACHE = 600_000
+CACHE = 300_000             # tokens that a worker remembers as plain
+FLUSH = 60_000              # features that a task counts before it passes them on
 
 _LOOK = "".join(re.escape(c) for c in LOOKS)
 _SEP = "".join(re.escape(c) for c in SEPARATORS.strip())
@@ -65,6 +66,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Character trigram counts over all documents: one row per task and
     trigram is shuffled, the result has SYMBOLS ** 3 cells."""
     def run(batches):
+        worker_state("trigrams", dict)     # lets go of what another operator cached
         n = np.zeros(SYMBOLS ** 3, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -273,17 +275,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, max_feature
         return features_of([w for c in chunks_of(text) for w in words_of(c, decoder)])
 
     def count(batches):
-        decoder, n, pos, rows = Decoder(shared.value), Counter(), Counter(), [0, 0]
+        decoder, n, pos = Decoder(shared.value), Counter(), Counter()
+
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([pos[k] for k in n], pa.int64()),
+                                               pa.array(list(n.values()), pa.int64())], names=["feature", "pos", "n"])
+
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                f = text_features(decoder, text)
+                f = text_features(decoder, text) | {""}      # the empty feature counts documents
                 n.update(f)
                 if toxic:
                     pos.update(f)
-                rows[bool(toxic)] += 1
-        pos[""], n[""] = rows[1], sum(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([pos[k] for k in n], pa.int64()),
-                                          pa.array(list(n.values()), pa.int64())], names=["feature", "pos", "n"])
+                if len(n) >= FLUSH:
+                    yield counted()
+                    n, pos = Counter(), Counter()
+        yield counted()
 
     stats = (sample.select("text", "toxic").mapInArrow(count, "feature string, pos long, n long")
                    .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")))
