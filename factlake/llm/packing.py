@@ -12,6 +12,7 @@ is one sequence in thousands.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -46,36 +47,47 @@ class UnitTokenizer:
         # units of one match of the split pattern, or two: as many word ends
         signs = r'[!-&(-/:;=?@\[-`{}~]+'
         self.simple = regex.compile(rf"\p{{L}}+|{signs}")
+        self.letter = regex.compile(r"\p{L}+")
         self.tail = regex.compile(rf"(\p{{L}}+)({signs})")
         self.cache: dict = {}
 
+    def one_by_one(self, words: list) -> list:
+        return [np.array(e.ids, dtype="<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def words(self, words: list) -> list:
-        """Ids of words that have one word end each."""
-        lines = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]
+        """Ids of words that should have one word end each; a line where that
+        does not come out is taken word by word."""
+        parts = [words[i:i + 100] for i in range(0, len(words), 100)]
         out = []
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(part) or at[-1] != len(ids):
+                out += self.one_by_one(part)
+                continue
             raw = ids.tobytes()
             out += [raw[4 * i:4 * j] for i, j in zip([0, *at[:-1].tolist()], at.tolist())]
-        if len(out) != len(words):
-            raise ValueError("a word did not end in one word-end token")
         return out
 
+    def letters(self, word: str) -> bool:
+        """Whether a word of letters is one after the tokenizer's NFC and lower
+        case too: both may put a combining mark into it, which ends a word."""
+        return word.isascii() or bool(self.letter.fullmatch(unicodedata.normalize("NFC", word).lower()))
+
     def learn(self, units) -> None:
         simple, tails, rest = {}, [], []
         for u in units:
-            if u.isalpha() or self.simple.fullmatch(u):
+            if (u.isalpha() or self.simple.fullmatch(u)) and self.letters(u):
                 simple[u] = None
-            elif m := self.tail.fullmatch(u):
+            elif (m := self.tail.fullmatch(u)) and self.letters(m[1]):
                 tails.append((u, m[1], m[2]))
                 simple[m[1]] = simple[m[2]] = None
             else:
                 rest.append(u)
         new = [u for u in simple if u not in self.cache]
         self.cache.update(zip(new, self.words(new)))
-        for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cache[u] = np.array(e.ids, dtype="<u4").tobytes()
+        self.cache.update(zip(rest, self.one_by_one(rest)))
         for u, a, b in tails:
             self.cache[u] = self.cache[a] + self.cache[b]
 

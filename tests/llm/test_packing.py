@@ -59,3 +59,15 @@ def test_sequences_hold_the_ids(docs_frame):
     for r in df.collect():
         assert seqs[r.sequence_id][r.offset:r.offset + r.length] == r.ids
     assert packing.pack_documents(docs_frame([]), FILE).count() == 0
+
+
+def test_letters_that_normalisation_takes_apart():
+    words = ["হয়", "क़लम", "İstanbul", "İstanbul!", "plain", "Été", "হয়,"]
+    tok = Tokenizer.from_file(FILE)
+    with open(FILE, encoding="utf-8") as f:
+        unit = packing.UnitTokenizer(f.read())
+    texts = [" ".join(words * 40), *words, "all words হয়"]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(unit.texts(texts)) == want
+    # also where a word gets past the letter test
+    assert unit.words(words[:3] * 70) == unit.one_by_one(words[:3] * 70)
