@@ -31,7 +31,7 @@ from factlake.session import cut_lineage
 SHINGLE = 5
 BANDS, ROWS = 20, 5         # a pair of similarity 0.85 shares no band once in 100,000 times
 SKETCH_WORDS = 4            # 64-bit words of an odd sketch
-MARGIN = 0.14               # a pair is dropped on sketches only if it seems this far below the threshold
+MARGIN = 0.27               # a pair is dropped on sketches only if it seems this far below the threshold: rarer than sharing no band
 CACHE_WORDS = 500_000
 BLOCK = 2048                # classes of a bucket that are compared at once
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
