@@ -29,7 +29,8 @@ from factlake.llm.common import components, id_text, worker_state
 from factlake.session import cut_lineage
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5         # a pair of similarity 0.85 shares no band once in 100,000 times
+BANDS, ROWS = 20, 5         # a pair of similarity 0.85 shares no band once in 100,000 times,
+LOW_ROWS = 4                # one of 0.80 in 25 bands of four samples twice in a million
 SKETCH_WORDS = 4            # 64-bit words of an odd sketch
 MARGIN = 0.27               # a pair is dropped on sketches only if it seems this far below the threshold: rarer than sharing no band
 CACHE_WORDS = 500_000
@@ -81,10 +82,10 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    k = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        k = mix(k * np.uint64(0x9E3779B97F4A7C15) + m[i::ROWS])
+def band_keys(m: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    k = np.arange(1, len(m) // rows + 1, dtype=np.uint64)
+    for i in range(rows):
+        k = mix(k * np.uint64(0x9E3779B97F4A7C15) + m[i::rows])
     return k.view(np.int64)
 
 
@@ -106,7 +107,7 @@ def linked(inter, na, nb, percent):
     return 100 * inter >= percent * (na + nb - inter)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """``(doc_id, n, node, bands, sketch, text_hash)`` of ``(doc_id, text)``;
     node is the digest of the set, null for a text without words."""
     def run(batches):
@@ -118,7 +119,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 m = minhashes(s) if len(s) else None
                 node.append(set_digest(s) if len(s) else None)
-                bands.append(band_keys(m) if len(s) else None)
+                bands.append(band_keys(m, rows) if len(s) else None)
                 sketch.append(odd_sketch(m) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     docs = id_text(docs, id_col, text_col)
     least = percent / 100 - MARGIN
-    rows = cut_lineage(signatures(docs))
+    rows = cut_lineage(signatures(docs, ROWS if percent >= 85 else LOW_ROWS))
     classes = cut_lineage(rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
