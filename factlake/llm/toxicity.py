@@ -16,6 +16,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = ".-_*~^'`·•:;,/\\#%&= "
 LOOK_COST, DROP_COST, REPEAT_COST, KEEP_COST = 1.5, 0.5, 0.3, 2.0
 BEGINNINGS = (4, 5, 6)      # lengths of word beginnings that are features
-LONGEST = 40                # a longer token is no word: its lattice is decoded in stretches of this length
+LONGEST = 40                # a longer token is no word; after so many characters the search sets settled text aside
 SYMBOLS = 32                # 0 space, 1..26 letters, 27 other signs, 28 other letters
 CACHE = 300_000             # tokens that a worker remembers as plain
 FLUSH = 60_000              # features that a task counts before it passes them on
@@ -126,8 +127,12 @@ class Decoder:
 
     def decode(self, token: str) -> str:
         """The cheapest reading of a token; ties go to the smaller output."""
-        paths = {(0, 0): (0.0, "")}
+        paths, settled = {(0, 0): (0.0, "")}, []
         for i in range(len(token) + 1):
+            if i and i % LONGEST == 0:      # what all paths begin with is set aside: texts stay short
+                same = commonprefix([text for _, text in paths.values()])
+                settled.append(same)
+                paths = {k: (total, text[len(same):]) for k, (total, text) in paths.items()}
             new = {}
             for out, cost in self.edges(token, i) if i < len(token) else [(" ", 0.0)]:
                 for (a, b), (total, text) in paths.items():
@@ -139,7 +144,7 @@ class Decoder:
                     if key not in new or step < new[key]:
                         new[key] = step
             paths = new
-        return min(paths.values())[1].strip()
+        return ("".join(settled) + min(paths.values())[1]).strip()
 
     def restore(self, token: str) -> str:
         """The reading of a lower-case token.  A token with nothing noisy in it
@@ -148,7 +153,7 @@ class Decoder:
             return token
         if " " not in token and not _NOISY.search(token):
             return token
-        return "".join(self.decode(token[k:k + LONGEST]) for k in range(0, len(token), LONGEST))
+        return self.decode(token)
 
 
 def _trim(chunk: str) -> str:

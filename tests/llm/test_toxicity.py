@@ -74,3 +74,23 @@ def test_odd_rows(spark, model):
     empty = df.limit(0)
     m = T.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert T.score(empty, m).count() == 0 and [r.predicted for r in T.score(df, m).collect()] == [0] * 5
+
+
+def whole_viterbi(d, token):
+    paths = {(0, 0): (0.0, "")}
+    for i in range(len(token) + 1):
+        new = {}
+        for out, cost in d.edges(token, i) if i < len(token) else [(" ", 0.0)]:
+            for (a, b), (total, text) in paths.items():
+                s = d.symbol(out) if out else None
+                key, step = ((a, b), (total + cost, text)) if not out else ((b, s), (total + cost + d.costs[a][b][s], text + out))
+                new[key] = min(step, new.get(key, step))
+        paths = new
+    return min(paths.values())[1].strip()
+
+
+def test_long_tokens_are_searched_whole():
+    rng = np.random.default_rng(2)
+    d = T.Decoder(rng.uniform(0, 6, (29, 29, 29)))
+    for token in [" ".join("you are such a worthless idiot and a clown".replace(" ", "")), "a.b1" * 60, "".join(rng.choice(list("ab0!. -x"), 300)) + "z"]:
+        assert d.restore(token) == whole_viterbi(d, token)
