@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import bpe, exact_dedup, langid, line_dedup, near_dup, packing, secrets, suffix_dedup, topk, toxicity
+from factlake.llm import (bpe, chat_format, exact_dedup, langid, line_dedup, near_dup, packing, secrets, spelling, suffix_dedup, topk,
+                          toxicity, whitening)
 from factlake.llm.common import held_out
 from factlake.sources.tables import table
 
@@ -57,9 +58,27 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+CHAT_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CHAT_TURNS, "conv_id long, turn long, role string, text string")
+    return chat_format.conversation_digests(chat_format.format_conversations(turns.unionByName(more)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"), drop_every=97)
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"), 16)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_bpe, op3_line_dedup, op4_best_fit_packing, op5_suffix_dedup, op6_exact_dedup, op7_topk, op8_secret_scan, op9_near_dup, op10_language_id)}
+    op1_toxicity, op2_bpe, op3_line_dedup, op4_best_fit_packing, op5_suffix_dedup, op6_exact_dedup, op7_topk, op8_secret_scan, op9_near_dup, op10_language_id,
+    op11_chat_format, op12_spelling_variants, op13_whitening)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": exact_dedup.SQL, "op7_topk": topk.SQL, "op9_near_dup": near_dup.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op7_topk": topk.SQL, "op9_near_dup": near_dup.SQL, "op11_chat_format": chat_format.SQL}
