@@ -257,8 +257,8 @@ def conversation_digests(pieces: DataFrame) -> DataFrame:
 
 SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, length(regexp_replace(role, '([<\[])(\*(/?s>|/?INST\]))', '\', 'g'))
-    + length(regexp_replace(text, '([<\[])(\*(/?s>|/?INST\]))', '\', 'g')) + 22 AS size FROM t)
+e AS (SELECT *, length(regexp_replace(role, '([<\[])(\\*(/?s>|/?INST\]))', '\1\\\2', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*(/?s>|/?INST\]))', '\1\\\2', 'g')) + 22 AS size FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
