@@ -41,7 +41,7 @@ def test_stages(spark, tmp_path):
     assert len(clean & left) >= 0.95 * len(clean) and len(toxic & left) < 0.6 * len(toxic)
 
     rows = rows_of(b)
-    assert sorted(rows_of(c), key=str) == test_line_dedup.expected(rows, test_line_dedup.sims_of(spark, rows))
+    assert sorted(rows_of(c), key=str) == test_line_dedup.expected(rows, test_line_dedup.keys_of(spark, rows))
     assert c.where(F.length("text") != F.col("n_chars")).join(b.where(F.length("text") == F.col("n_chars")), "doc_id", "left_semi").count() == 0
 
     kept = {r[0] for r in test_near_dup.expected(rows_of(c)) if r[3]}
