@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from factlake.llm.suffix_dedup import stored
 
 RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")     # in UTF-8: A-Z, a-z, U+00C0 to U+00FF
-GROUPS = 16                 # a letter's group is its code point modulo this
+GROUPS = 32                 # a letter's group is its code point modulo this: a to z are told apart
 SHARD_WORDS = 20_000
 LEAF_WORDS = 16             # larger leaves are looked up by halves of words
 COUNT_WORDS = 300_000       # distinct words a task adds up before it passes them on
@@ -72,11 +72,11 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 # ------------------------------------------------------------------------- trie
-def vectors(words: list) -> np.ndarray:
-    """Letter-group counts, one row per word."""
+def vectors(words: list, order=slice(None)) -> np.ndarray:
+    """Letter-group counts, one row per word, levels in the given order."""
     raw = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return np.bincount(row * GROUPS + raw % GROUPS, minlength=len(words) * GROUPS).reshape(len(words), GROUPS)
+    return np.bincount(row * GROUPS + raw % GROUPS, minlength=len(words) * GROUPS).reshape(len(words), GROUPS)[:, order]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -85,30 +85,33 @@ def one_edit(a: str, b: str) -> bool:
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
         return False
-    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    i = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        i += 1
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
 class Leaf:
-    """Words of one vector, hence of one length.  Of two words one edit apart,
-    the first or the last half of the shorter one's length is common, so large leaves are
-    looked up by halves."""
+    """Words of one vector, hence of one length."""
 
     def __init__(self):
         self.words, self.halves = [], {}
 
-    def near(self, word: str):
-        if len(self.words) <= LEAF_WORDS:
-            return [x for x in self.words if one_edit(word, x[0])]
-        h = min(len(word), len(self.words[0][0])) // 2
-        if h not in self.halves:
-            table = self.halves[h] = {}
-            for x in self.words:
-                table.setdefault((0, x[0][:h]), []).append(x)
-                table.setdefault((1, x[0][len(x[0]) - h:]), []).append(x)
-        table = self.halves[h]
-        found = {x[0]: x for k in ((0, word[:h]), (1, word[len(word) - h:])) for x in table.get(k, ())}
-        return [x for x in found.values() if one_edit(word, x[0])]
+    def near(self, word: str, h: int, head: str, tail: str):
+        """The words one edit away.  They share the first or the last ``h``
+        letters of ``word``, ``h`` being half of the shortest length that is near."""
+        words = self.words
+        if len(words) > LEAF_WORDS:
+            if h not in self.halves:
+                table = self.halves[h] = {}
+                for x in words:
+                    table.setdefault((0, x[0][:h]), []).append(x)
+                    table.setdefault((1, x[0][len(x[0]) - h:]), []).append(x)
+            table = self.halves[h]
+            words = {x[0]: x for k in ((0, head), (1, tail)) for x in table.get(k, ())}.values()
+        return [x for x in words if (x[0].startswith(head) or x[0].endswith(tail)) and one_edit(word, x[0])]
 
 
 class Trie:
@@ -123,26 +126,25 @@ class Trie:
             node = node.setdefault(c, {})
         node.setdefault(vector[-1] if self.depth < GROUPS else 0, Leaf()).words.append((word, n))
 
-    def near(self, vector: list, word: str, surplus: int, deficit: int):
+    def near(self, vector: list, word: str, surplus: int, deficit: int) -> list:
         """``(word, n)`` of the words one edit away, with the budget that is left."""
-        todo = [(self.root, self.depth, surplus, deficit)]
+        h = (len(word) - 1) // 2
+        head, tail = word[:h], word[len(word) - h:]
+        tail_levels = vector if self.depth < GROUPS else [*vector, 0]      # all levels used up: one leaf
+        todo, out = [(self.root, self.depth, surplus, deficit)], []
         while todo:
             node, level, s, d = todo.pop()
-            if isinstance(node, Leaf):
-                yield from node.near(word)
-                continue
-            c = vector[level] if level < GROUPS else 0
-            x = node.get(c)
-            if x is not None:
-                todo.append((x, level + 1, s, d))
-            if s and level < GROUPS:
-                x = node.get(c + 1)
-                if x is not None:
-                    todo.append((x, level + 1, 0, d))
-            if d and level < GROUPS:
-                x = node.get(c - 1)
-                if x is not None:
-                    todo.append((x, level + 1, s, 0))
+            while type(node) is dict:       # follow the word's own count, leave the ways that spend for later
+                c = tail_levels[level]
+                level += 1
+                if s and (x := node.get(c + 1)) is not None:
+                    todo.append((x, level, 0, d))
+                if d and (x := node.get(c - 1)) is not None:
+                    todo.append((x, level, s, 0))
+                node = node.get(c)
+            if node is not None:
+                out += node.near(word, h, head, tail)
+        return out
 
 
 # ----------------------------------------------------------------------- shards
@@ -153,11 +155,27 @@ def _paths(v: np.ndarray) -> list:
     return [raw[i:i + size] for i in range(0, len(raw), size)]
 
 
-def shard_depth(words: DataFrame) -> int:
-    """Levels of the trie that name a shard: the fewest with which none is too large."""
+def level_order(words: DataFrame) -> list:
+    """Letter groups by falling variance of their counts: the first levels of the
+    trie then tell the most words apart.  Two sums per group are collected."""
     def run(batches):
+        total = np.zeros((2, GROUPS), np.int64)
         for b in batches:
             v = vectors(b.column(0).to_pylist())
+            total += np.array([v.sum(axis=0), (v * v).sum(axis=0)])
+        yield pa.RecordBatch.from_pydict({"g": pa.array(range(GROUPS), pa.int32()), "s": total[0], "q": total[1]})
+
+    sums = words.select("word").mapInArrow(run, "g int, s long, q long").groupBy("g").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    n = max(1, words.count())
+    spread = {r["g"]: r["q"] - r["s"] ** 2 / n for r in sums}
+    return sorted(range(GROUPS), key=lambda g: (-spread.get(g, 0), g))
+
+
+def shard_depth(words: DataFrame, order: list) -> int:
+    """Levels of the trie that name a shard: the fewest with which none is too large."""
+    def run(batches):
+        for b in batches:
+            v = vectors(b.column(0).to_pylist(), order)
             for depth in range(2, GROUPS + 1):
                 path, n = np.unique(v[:, :depth], axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), depth), pa.int32()), pa.array(_paths(path), pa.binary()), pa.array(n, pa.int64())],
@@ -170,14 +188,15 @@ def shard_depth(words: DataFrame) -> int:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``(a, na, b, nb)``: each pair of words ``(word, n)`` one edit apart, once."""
-    depth = shard_depth(words)
+    order = level_order(words)
+    depth = shard_depth(words, order)
     steps = [(0, 0, 0)] + [(i + 1, 0, 1) for i in range(depth)] + [(0, i + 1, 2) for i in range(depth)] + [
         (i + 1, j + 1, 3) for i in range(depth) for j in range(depth) if i != j]
 
     def deal(batches):
         for b in batches:
             words_, n = b.column(0), b.column(1)
-            v = vectors(words_.to_pylist())[:, :depth]
+            v = vectors(words_.to_pylist(), order)[:, :depth]
             home = _paths(v)
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.binary()), pa.array(np.full(len(home), -1), pa.int32()), words_, n], names=["path", "kind", "word", "n"])
             for up, down, kind in steps:
@@ -195,7 +214,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     def search(batches):
         key, trie = None, None
-        rows = ((*r, v) for b in batches for r, v in zip(zip(*(c.to_pylist() for c in b.columns)), vectors(b.column(2).to_pylist()).tolist()))
+        rows = ((*r, v) for b in batches for r, v in zip(zip(*(c.to_pylist() for c in b.columns)), vectors(b.column(2).to_pylist(), order).tolist()))
         out = []
         for path, group in groupby(rows, key=lambda r: r[0]):
             trie, some = Trie(depth), False
