@@ -663,3 +663,15 @@ CLAIM_GP = (f"(SELECT {gold_label('CAST(quality AS VARCHAR)')} AS gold, "
             f"FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL)")
 SQL["claim_eval_report"] = CLASS_REPORT.replace(f"FROM {GOLD_PRED} GROUP BY ALL",
                                                 f"FROM (SELECT * FROM {CLAIM_GP} WHERE gold IS NOT NULL) GROUP BY ALL")
+
+# ---------------------------------------------------------------- pluggable models
+LEXICON = f"""bt AS (SELECT item_id, {tokens('text')} AS w FROM benchmark),
+ps AS (SELECT a.w AS s, b.w AS t, unnest(range(1, least(len(a.w), len(b.w)) + 1)) AS i FROM bt a JOIN bt b ON b.item_id = a.item_id + 1),
+pn AS (SELECT s[i] AS src, t[i] AS tgt, count(*) AS n FROM ps GROUP BY ALL),
+lx AS (SELECT src, first(tgt ORDER BY n DESC, tgt) AS tgt FROM pn GROUP BY src)"""
+SQL["aligned_lexicon"] = f"WITH {LEXICON} SELECT src, tgt FROM lx"
+SQL["translate_model"] = TRANSLATE.replace(f"lx AS (SELECT DISTINCT unnest({tokens('text')}) AS src FROM benchmark)", LEXICON).replace(
+    "coalesce(reverse(lx.src), pc.piece)", "coalesce(lx.tgt, pc.piece)")
+SQL["ngram_keywords_model"] = SQL["ngram_keywords"]
+SQL["quarantine"] = """SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '[0-9]+'), '') AS value,
+  CASE WHEN NOT regexp_matches(coalesce(text, ''), '[0-9]') THEN 'ValueError: no number in the text' END AS error FROM documents"""

@@ -541,3 +541,60 @@ def source_roundtrip(spark, sf):
 
 
 QUERIES["source_roundtrip"] = source_roundtrip
+
+
+# ---------------------------------------------------------------- pluggable models
+from factlake.operators import plugin  # noqa: E402
+
+
+def ngram_keywords_model(spark, sf):
+    """C07 through a pluggable embedder; the default one as a model gives the
+    keywords of ``ngram_keywords``."""
+    return plugin.embed_keywords(_rows(_docs(spark, sf)), ["doc_id"], list(vocab.stop_words("english")), plugin.hash_embedder(),
+                                 n_max=3, top_n=10)
+
+
+def _parallel_texts(spark, sf):
+    """Texts of ``benchmark`` beside their successors, as a parallel corpus."""
+    b = table(spark, sf, "benchmark")
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("tgt_text"))
+    return b.select("item_id", F.col("text").alias("src_text")).join(after, "item_id")
+
+
+def aligned_lexicon(spark, sf):
+    """The lexicon that a translator learns from parallel texts."""
+    return plugin.aligned_lexicon(_parallel_texts(spark, sf))
+
+
+def translate_model(spark, sf):
+    """C19 through a pluggable batch translator with that lexicon."""
+    model = plugin.lexicon_translator(aligned_lexicon(spark, sf))
+    return plugin.translate_column(_docs(spark, sf), model)
+
+
+def quarantine(spark, sf):
+    """A model that fails on some texts (those without a number); the
+    failed rows carry their error, the others their value."""
+    def make():
+        import re
+        number = re.compile("[0-9]+")
+
+        def first_number(texts):
+            out = []
+            for t in texts:
+                found = number.search(t or "")
+                if not found:
+                    raise ValueError("no number in the text")
+                out.append(found.group())
+            return out
+        return first_number
+    got = plugin.capture(_rows(_docs(spark, sf)), make)
+    return got.select("doc_id", F.col("result.value").alias("value"), F.col("result.error").alias("error"))
+
+
+QUERIES.update({
+    "ngram_keywords_model": ngram_keywords_model,
+    "aligned_lexicon": aligned_lexicon,
+    "translate_model": translate_model,
+    "quarantine": quarantine,
+})
