@@ -598,3 +598,16 @@ QUERIES.update({
     "translate_model": translate_model,
     "quarantine": quarantine,
 })
+
+
+def training_rounds(spark, sf):
+    """M06 in rounds: the evaluation history of a training that stops early
+    (no SQL form: training)."""
+    import uuid
+
+    from factlake.session import checkpoint_dir
+    data, _ = _claim_data(spark, sf)
+    return infer.train_in_rounds(data, f"{checkpoint_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}")[0]
+
+
+QUERIES["training_rounds"] = training_rounds
