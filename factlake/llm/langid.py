@@ -184,10 +184,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     learned, is ``und`` with score 0.  Null ids are not held out; repeated rows
     repeat; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)    # DIMS weights per machine: fixed size
+    # arrays and lists only: a broadcast object would name its class by module, which executors need not have.
+    # DIMS weights per machine: fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
-        m = shared.value
+        m = object.__new__(Model)
+        vars(m).update(shared.value)
         for b in batches:
             got = m.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()),

@@ -35,3 +35,33 @@ def test_no_rows_or_one_language(spark):
     assert [r.lang_pred for r in langid.predict(one, langid.fit(one)).orderBy("doc_id").collect()] == ["en", "und"]
     none = langid.predict(one, langid.fit(empty)).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+
+
+def test_what_travels_to_executors_names_no_module_of_ours(spark, monkeypatch):
+    """Executors have no copy of the package: broadcasts are pickled by reference, functions by value."""
+    import pickle
+
+    from pyspark import cloudpickle
+    rows = [(i, "alpha beta" if i % 2 else "gamma delta", "xx" if i % 2 else "yy") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    sent = []
+    broadcast = spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sent.append(v) or broadcast(v))
+    frames = []
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, f, schema: frames.append(f) or self)
+    langid.predict(d, model)
+    assert len(sent) == len(frames) == 1
+    assert b"factlake" not in pickle.dumps(sent[0])
+    code = "import sys, pickle; f = pickle.load(sys.stdin.buffer); assert not [m for m in sys.modules if m.startswith('factlake')]; print(f(['alpha beta', None]))"
+
+    def outside(texts, state=vars(model), make=langid.Model):
+        m = object.__new__(make)
+        vars(m).update(state)
+        return m.predict(texts)
+
+    import subprocess
+    import sys
+    got = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(outside), capture_output=True, cwd="/", env={"PATH": "/usr/bin", "PYTHONPATH": ":".join(p for p in sys.path if "site-packages" in p)})
+    assert got.returncode == 0, got.stderr.decode()[-800:]
+    assert "'xx'" in got.stdout.decode() and "'und'" in got.stdout.decode()
