@@ -3,15 +3,19 @@
 The patterns give the base spans.  The novelty pass then looks at strings that
 stand near a sensitive word: a zstandard dictionary is primed with common
 identifiers and the text around the candidate, and the bytes the candidate
-adds to a compressed frame are held against its length.  A string that neither
-its surroundings nor everyday identifiers explain does not compress: it is
-reported as ``novel``.  Everything is row by row: nothing is shuffled.
+adds to a compressed frame are held against its length and against what a
+random string of the same length over the same characters costs there.  A
+string that neither its surroundings nor everyday identifiers explain
+compresses no better than that: it is reported as ``novel``, to the end of its
+run of characters.  Everything is row by row: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -31,7 +35,7 @@ HEX = re.compile("[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 # Words that make their surroundings sensitive.
 CONTEXT = re.compile(r"(?i)passw|passphrase|secret|token|api[_-]?key|credential|auth|bearer|private[_ -]?key|access[_ -]?key|pwd")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Everyday identifiers that a novel string must differ from.
 IDENTIFIERS = ("password passwd secret token api_key access_key private_key client_id client_secret authorization bearer "
                "username user_name config settings database connection string example default localhost undefined null "
@@ -40,6 +44,8 @@ IDENTIFIERS = ("password passwd secret token api_key access_key private_key clie
 NEAR = 64           # characters before a candidate in which a sensitive word counts
 AROUND = 512        # characters on each side that prime the dictionary
 NOVEL_RATIO = 0.70  # marginal bytes per character from which a string is novel (random base64 costs 0.75 and more)
+RANDOM_SHARE = 0.95  # share of a random string's marginal bytes from which a string is novel (small alphabets, long strings)
+LEAST = 16          # characters of the shortest candidate
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -60,27 +66,41 @@ def _frame(context: bytes, payload: bytes) -> int:
     return len(c.compress(payload))
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes per character of ``text[start:end]``."""
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` adds as many bytes to a frame as a string
+    without pattern would: NOVEL_RATIO a character, or, where entropy coding
+    alone goes below that, RANDOM_SHARE of what evenly drawn characters of the
+    string's own alphabet cost at the same place."""
     around = (text[max(0, start - AROUND):start] + "\n" + text[end:end + AROUND]).encode()
+    n, piece = end - start, text[start:end]
     empty = _frame(around, b"")
-    return max(0, _frame(around, text[start:end].encode()) - empty) / (end - start)
+    cost = _frame(around, piece.encode()) - empty
+    if cost >= NOVEL_RATIO * n:
+        return True
+    drawn = "".join(random.Random(n).choices(sorted(set(piece)), k=n))
+    return cost >= RANDOM_SHARE * (_frame(around, drawn.encode()) - empty)
 
 
 def novel_spans(text: str, base: list) -> list:
-    """Incompressible candidates near a sensitive word that no base span covers."""
+    """Incompressible candidates near a sensitive word that no base span covers.
+    One pass finds the runs of candidate characters, of any length."""
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends = [e for _, e in runs]
     out, at = [], 0
     for w in CONTEXT.finditer(text):
         at = max(at, w.start())
-        while m := CANDIDATE.search(text, at, min(len(text), w.end() + NEAR + 512)):
-            if m.start() > w.end() + NEAR:
+        for i in range(bisect_right(ends, at), len(runs)):
+            s, e = max(runs[i][0], at), ends[i]
+            if s > w.end() + NEAR:
                 break
-            at = m.end()
-            s, e = m.span()
-            has = sum(bool(re.search(p, m[0])) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-            if has < 2 or not re.search("[0-9]", m[0]) or any(b[0] < e and s < b[2] for b in base):
+            if e - s < LEAST:
                 continue
-            if novelty(text, s, e) >= NOVEL_RATIO:
+            at = e
+            piece = text[s:e]
+            has = sum(bool(re.search(p, piece)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+            if has < 2 or not re.search("[0-9]", piece) or any(b[0] < e and s < b[2] for b in base):
+                continue
+            if is_novel(text, s, e):
                 out.append((s, 3, e))
     return out
 

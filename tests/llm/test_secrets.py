@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import random
 import re
+import time
 
 import duckdb
 
@@ -50,6 +53,41 @@ def test_novel_strings_near_sensitive_words():
     assert secrets.find_spans(repeated)[1] == []      # its surroundings explain it
 
 
+def test_long_strings_of_any_alphabet():
+    rng = random.Random(5)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789",
+                 "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    for letters in alphabets:
+        for n in (64, 128, 512, 513, 700, 5000):
+            for _ in range(20):
+                secret = "".join(rng.choices(letters, k=n))
+                t = f"the credential is {secret} for all"
+                if secrets.base_spans(t):
+                    continue
+                assert [t[s:e] for s, k, e in secrets.find_spans(t)[1]] == [secret], (letters, n)
+                assert secrets.masked(t) == "the credential is [SECRET] for all"
+
+
+def test_long_strings_with_a_pattern_are_no_secrets():
+    rng = random.Random(6)
+    words = "the internal service path of our main data store has a name with many parts and no secret value in it".split()
+    for n in (60, 200):     # short runs of words with a digit are reported: nothing primes the frame for them
+        for sep in "_-/":
+            run = sep.join(rng.choices(words, k=n)) + sep + "v2"
+            assert secrets.find_spans(f"auth {run.capitalize()} end")[1] == [], run
+    assert secrets.find_spans("bearer " + "A0" * 400)[1] == []
+    assert secrets.find_spans("bearer " + base64.b64encode(b"\0" * 600).decode() + "1")[1] == []
+
+
+def test_many_sensitive_words_and_a_long_run_end_soon():
+    t0 = time.time()
+    assert secrets.novel_spans("token " * 200_000, []) == []
+    big = "".join(random.Random(7).choices("0123456789ABCDEF", k=1_000_000))
+    t = "token x " * 1000 + big + " token" * 1000
+    assert [(s, e) for s, _, e in secrets.novel_spans(t, [])] == [(8000, 1_008_000)]
+    assert time.time() - t0 < 60
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a password=abcdefgh b", 21, "s"), (2, "clean", 5, "s"), (3, None, None, None)],
                                "doc_id long, text string, n_chars long, source string")
