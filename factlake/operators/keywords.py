@@ -40,18 +40,25 @@ def bucket_counts(buckets, dims: int = DIMS) -> Column:
                        lambda i: F.size(b) - F.size(F.array_remove(b, i)))
 
 
-def _scored_grams(words: Column, buckets: Column, counts: Column, norm: Column, n: int) -> Column:
-    """``(-score, keyword)`` of every run of ``n`` words: the cosine of its
-    bucket counts with the text's."""
-    def one(i):
-        at = [F.element_at(buckets, (i + j).cast("int")) for j in range(n)]
-        dot = sum((F.element_at(counts, (b + 1).cast("int")) for b in at[1:]), F.element_at(counts, (at[0] + 1).cast("int")))
-        same = sum((F.when(at[j] == at[k], 2).otherwise(0) for j in range(n) for k in range(j)), F.lit(n))
-        return F.struct((-F.round(dot / (F.sqrt(same) * norm), 6)).alias("s"),
-                        F.array_join(F.slice(words, i, n), " ").alias("k"))
+def _positions(words: Column, n: int) -> Column:
+    """First positions (from 1) of the runs of ``n`` words."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))) \
+            .otherwise(F.array().cast("array<int>"))
 
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), one)
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<struct<s:double,k:string>>"))
+
+def _at(array: Column, i: Column, j: int) -> Column:
+    return F.get(array, i + (j - 1))
+
+
+def _dot(weights: Column, i: Column, n: int) -> Column:
+    """Product of the text's bucket counts with those of the ``n`` words from ``i``."""
+    return sum((_at(weights, i, j) for j in range(1, n)), _at(weights, i, 0))
+
+
+def _length(buckets: Column, i: Column, n: int) -> Column:
+    """Length of the bucket counts of the ``n`` words from ``i``."""
+    at = [_at(buckets, i, j) for j in range(n)]
+    return F.sqrt(sum((F.when(at[j] == at[k], 2).otherwise(0) for j in range(n) for k in range(j)), F.lit(n)))
 
 
 def embed_keyword_rows(texts: DataFrame, keep: list, stop: list, n_max: int = 1, top_n: int = 5,
@@ -62,9 +69,11 @@ def embed_keyword_rows(texts: DataFrame, keep: list, stop: list, n_max: int = 1,
     Candidates are n-grams (1..``n_max`` tokens, formed after stop-word
     removal) ranked by cosine to the text's embedding, ties in keyword order.
     Default embedder: hashed bag of tokens (``dims`` buckets).  Every token's
-    bucket is computed once; the text's bucket counts, the candidates (slices
-    of the token array), their scores and the ranking all stay in the text's
-    own row, so nothing is shuffled.
+    bucket is computed once; candidates are first scored as plain numbers,
+    and only those that reach the ``top_n``-th best distinct number (equal
+    keywords have equal ones, so at least ``top_n`` keywords do) become
+    strings and are ranked.  All of it stays in the text's own row, so nothing
+    is shuffled.
     """
     d = texts.select(*keep, T.tokens(text_col).alias("_t"))
     d = d.select(*keep, "_t", F.transform("_t", lambda t: hash_bucket(t, dims)).alias("_b"))
@@ -73,11 +82,27 @@ def embed_keyword_rows(texts: DataFrame, keep: list, stop: list, n_max: int = 1,
     d = d.select(*keep, bucket_counts("_b", dims).alias("_c"), kept.alias("_z"))
     norm = F.sqrt(F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: a + c.cast("bigint") * c))
     d = d.select(*keep, "_c", norm.alias("_n"), F.transform("_z", lambda z: z["_t"]).alias("_w"), F.transform("_z", lambda z: z["_b"]).alias("_b"))
-    grams = F.concat(*[_scored_grams(F.col("_w"), F.col("_b"), F.col("_c"), F.col("_n"), n) for n in range(1, n_max + 1)])
-    d = d.select(*keep, F.array_sort(grams).alias("_g"))
-    # equal keywords have equal scores, so they stand side by side
-    first = F.filter("_g", lambda g, i: (i == 0) | (F.get("_g", i - 1)["k"] != g["k"]))
-    return d.select(*keep, F.slice(first, 1, top_n).alias("keywords"))
+    d = d.select(*keep, "_n", "_w", "_b", F.transform("_b", lambda b: F.get("_c", b.cast("int"))).alias("_v"))
+    w, b, v, runs = F.col("_w"), F.col("_b"), F.col("_v"), range(1, n_max + 1)
+
+    def number(n):
+        return lambda i: _dot(v, i, n) / _length(b, i, n)
+
+    d = d.select(*keep, "_n", "_w", "_b", "_v", *[F.transform(_positions(w, n), number(n)).alias(f"_p{n}") for n in runs])
+    best = F.sort_array(F.array_distinct(F.concat(*[f"_p{n}" for n in runs])), asc=False)
+    # numbers whose scores may round to the same six digits are kept as well
+    cut = F.coalesce(F.get(best, F.lit(top_n - 1)) - F.col("_n") * 2e-6, F.lit(0.0))
+
+    def ranked(n, least):
+        reach = F.filter(_positions(w, n), lambda i: F.get(f"_p{n}", i - 1) >= least)
+        return F.transform(reach, lambda i: F.struct((-F.round(_dot(v, i, n) / (_length(b, i, n) * F.col("_n")), 6)).alias("s"),
+                                                     F.array_join(F.slice(w, i, n), " ").alias("k")))
+
+    # bound to a lambda variable: a column used once would be written into the
+    # filter's lambda by the optimizer and worked out for every candidate
+    best_of = F.transform(F.array(cut), lambda least: F.slice(
+        F.array_sort(F.array_distinct(F.concat(*[ranked(n, least) for n in runs]))), 1, top_n))
+    return d.select(*keep, F.get(best_of, F.lit(0)).alias("keywords"))
 
 
 def embed_keywords(texts: DataFrame, keys: list, stop: list, n_max: int = 1, top_n: int = 5,
