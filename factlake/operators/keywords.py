@@ -143,17 +143,38 @@ def noun_phrases(tagged: DataFrame, stop: list, keys: list, pos: str = "pos", wo
                      F.array_join(F.transform("_x", lambda s: s["w"]), " ").alias("phrase")))
 
 
-def keyword_bundle(docs: DataFrame, tagged: DataFrame, stop: list, embed_stop: list, k: int = 10, embed_k: int = 5,
-                   text_col: str = "text", key: str = "doc_id") -> DataFrame:
+def sentence_phrases(tagged: DataFrame, stop: list, keys: list, words: str = "words", tags: str = "tags",
+                     keep: list | None = None) -> DataFrame:
+    """W01 on sentences as parallel arrays: ``<keys..., start, phrase>``.  A run
+    starts at a fitting token behind one that does not fit and ends before the
+    next such one, so a sentence's runs are found in its own row."""
+    from factlake.functions import vocab
+    fits = F.transform(F.arrays_zip(F.col(words).alias("w"), F.col(tags).alias("t")),
+                       lambda z: F.coalesce(z["t"].isin(*(keep or vocab.NOUN_PHRASE_TAGS)) & ~F.lower(z["w"]).isin(list(stop)), F.lit(False)))
+    d = tagged.select(*keys, F.col(words).alias("_w"), fits.alias("_in"))
+    every = F.when(F.size("_in") > 0, F.sequence(F.lit(0), F.size("_in") - 1))
+
+    def edges(step):
+        return F.filter(every, lambda i: F.get("_in", i) & ~F.coalesce(F.get("_in", i + step), F.lit(False)))
+
+    runs = F.zip_with(edges(-1), edges(1), lambda s, e: F.struct(
+        s.cast("bigint").alias("start"), F.array_join(F.slice("_w", s + 1, e - s + 1), " ").alias("phrase")))
+    return d.select(*keys, F.explode(runs).alias("_r")).select(*keys, "_r.start", "_r.phrase")
+
+
+def keyword_bundle(docs: DataFrame, tagged: DataFrame | None, stop: list, embed_stop: list, k: int = 10, embed_k: int = 5,
+                   text_col: str = "text", key: str = "doc_id", runs: DataFrame | None = None) -> DataFrame:
     """Noun phrases, frequent words, TF-IDF words and embedding keywords
     of every document, each list in its rank order.  The TF-IDF words (C05)
     come from the noun phrases, or from the text itself where there are none.
-    ``tagged`` holds the documents' tokens ``<key, sid, pos, word, tag>``."""
+    ``tagged`` holds the documents' tokens ``<key, sid, pos, word, tag>``, or
+    ``runs`` their noun phrases ``<key, sid, start, phrase>``."""
     def in_order(df, order, col, out):
         return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, col))), lambda s: s[col]).alias(out))
 
     from factlake.operators import tfidf
-    phrases = in_order(noun_phrases(tagged, stop, [key, "sid"]), ["sid", "start"], "phrase", "noun_phrases")
+    runs = noun_phrases(tagged, stop, [key, "sid"]) if runs is None else runs
+    phrases = in_order(runs, ["sid", "start"], "phrase", "noun_phrases")
     d = docs.select(key, text_col).join(phrases, key, "left")
     joined = F.coalesce(F.array_join("noun_phrases", " "), F.col(text_col)).alias("text")
     words = in_order(tfidf.tfidf_keywords(by_doc(d.select(key, joined)), list(stop), k, key=key), ["rank"], "term", "tfidf_words")

@@ -333,17 +333,20 @@ def pos_tag(spark, sf):
                     F.array_join(F.transform("_tags", lambda t: F.coalesce(t, F.lit("-"))), " ").alias("tags"))
 
 
-def noun_phrases(spark, sf):
+def _phrases(spark, sf):
     toks, uni, bi = _tagger(spark, sf)
-    tagged = tagger.tag(toks, uni, bi, ["doc_id", "sid"])
-    return keywords.noun_phrases(tagged, vocab.stop_words("portuguese"), ["doc_id", "sid"])
+    s = tagger.tag_sentences(toks, uni, bi, ["doc_id", "sid"])
+    s = s.select("doc_id", "sid", F.transform("_toks", lambda t: t["word"]).alias("words"), F.col("_tags").alias("tags"))
+    return keywords.sentence_phrases(s, vocab.stop_words("portuguese"), ["doc_id", "sid"])
+
+
+def noun_phrases(spark, sf):
+    return _phrases(spark, sf)
 
 
 def keyword_bundle(spark, sf):
     """C12 with C05 over noun phrases: four keyword lists per document."""
-    toks, uni, bi = _tagger(spark, sf)
-    tagged = tagger.tag(toks, uni, bi, ["doc_id", "sid"])
-    b = keywords.keyword_bundle(_docs(spark, sf), tagged, vocab.stop_words("portuguese"), vocab.stop_words("english"))
+    b = keywords.keyword_bundle(_docs(spark, sf), None, vocab.stop_words("portuguese"), vocab.stop_words("english"), runs=_phrases(spark, sf))
     return b.select("doc_id", *[F.array_join(c, "; ").alias(c) for c in b.columns[1:]])
 
 

@@ -56,6 +56,43 @@ def test_train_and_tag(spark):
         assert [got[sid][i] for i in range(len(s))] == py_tag(s, puni, pbi)
 
 
+def test_broadcast_and_salted_lookup_agree(spark):
+    """One word is a third of all tokens; words without a model row stay."""
+    words = ["de", "gato", "come", "de", "xyz", "O", "de", "come", "casa"]
+    toks = spark.createDataFrame([(d, s, i, w) for d in range(40) for s in range(3) for i, w in enumerate(words[s:] * (d % 3 + 1))],
+                                 "doc_id long, sid long, pos long, word string")
+    gold = spark.createDataFrame([(0, sid, pos, w, t) for sid, s in enumerate(CORPUS) for pos, (w, t) in enumerate(s)],
+                                 "doc_id long, sid long, pos long, word string, tag string")
+    uni, bi = tagger.train(gold, ["doc_id", "sid"])
+    puni, pbi = py_train(CORPUS)
+    keys = ["doc_id", "sid"]
+    small, large = (tagger.tag_sentences(toks, uni, bi, keys, b) for b in (tagger.BROADCAST_BYTES, -1))
+    assert "_salt" not in small._jdf.queryExecution().toString() and "_salt" in large._jdf.queryExecution().toString()
+    for df in (small, large):
+        rows = df.collect()
+        assert len(rows) == 120
+        for r in rows:
+            got = [t["word"] for t in r["_toks"]]
+            assert got == words[r["sid"]:] * (r["doc_id"] % 3 + 1) and r["_tags"] == py_tag(got, puni, pbi)
+    assert tagger.tag_sentences(toks.limit(0), uni, bi, keys).count() == 0
+    assert {t for r in tagger.tag_sentences(toks, uni.limit(0), bi.limit(0), keys).collect() for t in r["_tags"]} == {None}
+
+
+def test_sentence_phrases_equal_token_phrases(spark):
+    import random
+    from factlake.operators import keywords
+    rng = random.Random(3)
+    sents = [(d, s, [rng.choice(["gato", "de", "O", "Lisboa", "preto"]) for _ in range(n)]) for d in range(20) for s, n in enumerate((0, 1, 2, 9))]
+    sents = [(d, s, w, [rng.choice(["N", "ADJ", "V", "NPROP", None]) for _ in w]) for d, s, w in sents]
+    rows = spark.createDataFrame(sents + [(99, 0, None, None)], "doc_id long, sid long, words array<string>, tags array<string>")
+    toks = spark.createDataFrame([(d, s, i, w, t) for d, s, ws, ts in sents for i, (w, t) in enumerate(zip(ws, ts))],
+                                 "doc_id long, sid long, pos long, word string, tag string")
+    keys = ["doc_id", "sid"]
+    a = sorted(map(tuple, keywords.sentence_phrases(rows, ["de", "o"], keys).collect()))
+    b = sorted(map(tuple, keywords.noun_phrases(toks, ["de", "o"], keys).collect()))
+    assert a == b and len(a) > 20
+
+
 def test_noun_phrases(spark):
     from factlake.operators import keywords
     rows = [(0, 0, i, w, t) for i, (w, t) in enumerate(
