@@ -675,3 +675,8 @@ SQL["translate_model"] = TRANSLATE.replace(f"lx AS (SELECT DISTINCT unnest({toke
 SQL["ngram_keywords_model"] = SQL["ngram_keywords"]
 SQL["quarantine"] = """SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '[0-9]+'), '') AS value,
   CASE WHEN NOT regexp_matches(coalesce(text, ''), '[0-9]') THEN 'ValueError: no number in the text' END AS error FROM documents"""
+SQL["link_texts"] = f"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*', '', 's') AS a, {page_text('html')} AS t FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY page_id) AS r FROM p)
+SELECT p.page_id AS link_id, p.a || '#end' AS url, f.page_id, f.t AS text FROM p LEFT JOIN f ON p.a = f.a AND f.r = 1"""
+SQL["category_order"] = """SELECT lang, source, min(doc_id) AS first,
+row_number() OVER (PARTITION BY lang ORDER BY min(doc_id), source) AS position FROM documents GROUP BY lang, source"""

@@ -614,3 +614,22 @@ def training_rounds(spark, sf):
 
 
 QUERIES["training_rounds"] = training_rounds
+
+
+# ---------------------------------------------------------------- links, order of categories
+from factlake.operators import links  # noqa: E402
+
+
+def link_texts(spark, sf):
+    """Every page's address as a link into the page's end, joined back."""
+    pages = table(spark, sf, "pages")
+    wanted = pages.select(F.col("page_id").alias("link_id"), F.concat(links.address("url"), F.lit("#end")).alias("url"))
+    return links.link_texts(wanted, _rows(pages))
+
+
+def category_order(spark, sf):
+    """A10 per language: sources in the order of their first document."""
+    return links.first_appearance(table(spark, sf, "documents"), "source", "doc_id", ["lang"])
+
+
+QUERIES.update({"link_texts": link_texts, "category_order": category_order})
