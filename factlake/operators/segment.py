@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import text as T
 from factlake.operators import scan
+from factlake.operators.corpus import sentence_table, term_counts
 
 FACTUAL = "factual"
 NON_FACTUAL = "non-factual"
@@ -122,3 +123,44 @@ def similarity_segments(vectors: DataFrame, group: str = "label", order: str = "
     seg = scan.running_sum(flagged, [group], "_b", "pos", "brk", "seg_incl")
     return seg.select(group, order, "pos", F.round("sim", 6).alias("sim"),
                       (F.col("seg_incl") - F.col("brk")).alias("segment"))
+
+
+def similarity_pieces(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+    """W02 inside a text: ``(key, piece, text)``, runs of sentences between breaks.
+
+    Neighbouring sentences are compared by the cosine of their term counts (0 if one has no
+    terms); a break follows where it lies below the text's mean by more than the standard deviation.
+    Cosines are whole millionths, so the comparison is exact.  All steps are keyed by the text
+    and share its one exchange; terms meet only the next sentence's.
+    """
+    s = sentence_table(docs, text_col, key).select(key, "sid", "sentence")
+    terms = term_counts(s, [key, "sid"], "sentence")
+    norms = terms.groupBy(key, "sid").agg(F.sum(F.col("tf") * F.col("tf")).alias("nn"))
+    nxt = terms.select(key, (F.col("sid") - 1).alias("sid"), "term", F.col("tf").alias("tf2"))
+    dots = terms.join(nxt, [key, "sid", "term"]).groupBy(key, "sid").agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"))
+    order = Window.partitionBy(key).orderBy("sid")
+    d = s.join(norms, [key, "sid"], "left").join(dots, [key, "sid"], "left")
+    d = d.withColumn("_n2", F.lead("nn").over(order)).withColumn("_last", F.lead("sid").over(order).isNull())
+    cos = F.floor(F.lit(1e6) * F.col("dot").cast("double") / F.sqrt((F.col("nn") * F.col("_n2")).cast("double")) + 0.5).cast("bigint")
+    d = d.withColumn("_s", F.when(~F.col("_last"), F.coalesce(cos, F.lit(0).cast("bigint"))))
+    whole = Window.partitionBy(key)
+    d = (d.withColumn("_n", F.count("_s").over(whole)).withColumn("_sum", F.sum("_s").over(whole))
+          .withColumn("_sq", F.sum(F.col("_s") * F.col("_s")).over(whole)))
+    wide = "decimal(18,0)"
+    below = (F.col("_sum") - F.col("_n") * F.col("_s")).cast(wide)
+    spread = F.col("_n").cast(wide) * F.col("_sq").cast(wide) - F.col("_sum").cast(wide) * F.col("_sum").cast(wide)
+    d = d.withColumn("_brk", F.coalesce((below > 0) & (below * below > spread), F.lit(False)).cast("bigint"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("piece", F.coalesce(F.sum("_brk").over(before), F.lit(0).cast("bigint")))
+    return d.groupBy(key, "piece").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("sid", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+
+
+def factual_pieces(docs: DataFrame, text_col: str = "text", key: str = "doc_id", label_fn=rule_label, sep: str = " | ") -> DataFrame:
+    """C18 over W02: the pieces between similarity breaks, re-joined, classified,
+    and the factual ones kept in order."""
+    p = similarity_pieces(docs, text_col, key)
+    kept = F.array_sort(F.collect_list(F.when(F.lower(label_fn("text")) == FACTUAL, F.struct("piece", "text"))))
+    return p.groupBy(key).agg(F.count(F.lit(1)).alias("n_pieces"), kept.alias("_k")).select(
+        key, "n_pieces", F.size("_k").cast("bigint").alias("n_factual"),
+        F.array_join(F.transform("_k", lambda x: x["text"]), sep).alias("factual_text"))

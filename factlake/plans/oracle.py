@@ -680,3 +680,41 @@ f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY page_id) AS r FROM p)
 SELECT p.page_id AS link_id, p.a || '#end' AS url, f.page_id, f.t AS text FROM p LEFT JOIN f ON p.a = f.a AND f.r = 1"""
 SQL["category_order"] = """SELECT lang, source, min(doc_id) AS first,
 row_number() OVER (PARTITION BY lang ORDER BY min(doc_id), source) AS position FROM documents GROUP BY lang, source"""
+
+# ---------------------------------------------------------------- word pieces, claims between breaks
+SQL["subword_limit"] = f"""WITH RECURSIVE tk AS (SELECT doc_id, unnest(_w) AS word, generate_subscripts(_w, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), {q(WORDS)}) AS _w FROM documents)),
+bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {q(WORDS)})) AS w FROM benchmark),
+vc AS (SELECT DISTINCT unnest(list_concat([w], list_transform(range(1, 5), lambda k: substr(w, 1, k)),
+    list_transform(range(1, least(length(w), 4) + 1), lambda k: '##' || substr(w, length(w) - k + 1, k)),
+    list_transform(range(1, length(w) + 1), lambda i: '##' || substr(w, i, 1)))) AS piece FROM bw),
+wd AS (SELECT DISTINCT word FROM tk),
+pl AS (SELECT word, unnest(range(1, length(word) + 1)) AS start FROM wd),
+sp AS (SELECT word, start, unnest(range(1, length(word) - start + 2)) AS n FROM pl),
+bt AS (SELECT word, start, max(n) AS n FROM sp JOIN vc ON piece = (CASE WHEN start > 1 THEN '##' ELSE '' END) || substr(word, start, n) GROUP BY ALL),
+wk(word, start, ps) AS (SELECT word, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]) FROM wd
+  UNION ALL SELECT wk.word, wk.start + bt.n, list_append(wk.ps, (CASE WHEN wk.start > 1 THEN '##' ELSE '' END) || substr(wk.word, wk.start, bt.n))
+  FROM wk JOIN bt ON wk.word = bt.word AND wk.start = bt.start),
+pc AS (SELECT wd.word, coalesce(wk.ps, ['[UNK]']) AS ps FROM wd LEFT JOIN wk ON wk.word = wd.word AND wk.start = length(wd.word) + 1),
+dc AS (SELECT doc_id, flatten(list(ps ORDER BY pos)) AS ps FROM tk JOIN pc USING (word) GROUP BY doc_id),
+al AS (SELECT d.doc_id, coalesce(dc.ps, []) AS ps FROM documents d LEFT JOIN dc USING (doc_id)),
+ct AS (SELECT doc_id, len(ps) AS n_pieces, len(list_filter(ps, lambda x: x = '[UNK]')) AS n_unknown,
+  replace(array_to_string(ps[1:128], ' '), ' ##', '') AS cut FROM al)
+SELECT doc_id, CAST(n_pieces AS BIGINT) AS n_pieces, CAST(n_unknown AS BIGINT) AS n_unknown, cut,
+  CASE WHEN regexp_matches(cut, '[0-9]') THEN 'factual' ELSE 'non-factual' END AS label FROM ct"""
+SQL["factual_pieces"] = f"""WITH sd AS (SELECT doc_id, unnest(sents) AS sentence, CAST(generate_subscripts(sents, 1) - 1 AS BIGINT) AS sid
+  FROM (SELECT doc_id, {sentences('text')} AS sents FROM documents)),
+tm AS (SELECT doc_id, sid, term, count(*) AS tf FROM (SELECT doc_id, sid, unnest({tokens('sentence')}) AS term FROM sd) GROUP BY ALL),
+nm AS (SELECT doc_id, sid, sum(tf * tf) AS nn FROM tm GROUP BY ALL),
+dt AS (SELECT a.doc_id, a.sid, sum(a.tf * b.tf) AS dot FROM tm a JOIN tm b ON a.doc_id = b.doc_id AND b.sid = a.sid + 1 AND a.term = b.term GROUP BY ALL),
+jn AS (SELECT sd.doc_id, sd.sid, sd.sentence, lead(sd.sid) OVER (PARTITION BY sd.doc_id ORDER BY sd.sid) IS NULL AS at_end,
+  CAST(floor(CAST(1000000 AS DOUBLE) * CAST(dot AS DOUBLE) / sqrt(CAST(a.nn * b.nn AS DOUBLE)) + 0.5) AS HUGEINT) AS c
+  FROM sd LEFT JOIN nm a ON a.doc_id = sd.doc_id AND a.sid = sd.sid LEFT JOIN nm b ON b.doc_id = sd.doc_id AND b.sid = sd.sid + 1
+  LEFT JOIN dt ON dt.doc_id = sd.doc_id AND dt.sid = sd.sid),
+sm AS (SELECT *, CASE WHEN NOT at_end THEN coalesce(c, 0) END AS s FROM jn),
+st AS (SELECT *, count(s) OVER p AS n, CAST(sum(s) OVER p AS HUGEINT) AS t, CAST(sum(s * s) OVER p AS HUGEINT) AS t2 FROM sm WINDOW p AS (PARTITION BY doc_id)),
+br AS (SELECT *, CAST(coalesce(t - n * s > 0 AND (t - n * s) * (t - n * s) > n * t2 - t * t, false) AS BIGINT) AS b FROM st),
+pi AS (SELECT doc_id, sid, sentence, coalesce(sum(b) OVER (PARTITION BY doc_id ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM br),
+pt AS (SELECT doc_id, piece, string_agg(sentence, ' ' ORDER BY sid) AS text FROM pi GROUP BY ALL)
+SELECT doc_id, count(*) AS n_pieces, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS n_factual,
+  coalesce(string_agg(text, ' | ' ORDER BY piece) FILTER (WHERE regexp_matches(text, '[0-9]')), '') AS factual_text FROM pt GROUP BY doc_id"""

@@ -633,3 +633,27 @@ def category_order(spark, sf):
 
 
 QUERIES.update({"link_texts": link_texts, "category_order": category_order})
+
+
+# ---------------------------------------------------------------- word pieces, claims between breaks
+from factlake.operators import subwords  # noqa: E402
+
+
+def subword_limit(spark, sf):
+    """Texts cut after 128 pieces of a vocabulary taken from the benchmark, then classified."""
+    cut = subwords.limit_pieces(_docs(spark, sf), subwords.affix_vocabulary(table(spark, sf, "benchmark")), 128)
+    return infer.rule_classifier(cut, "cut").drop("score")
+
+
+def factual_pieces(spark, sf):
+    return segment.factual_pieces(_docs(spark, sf))
+
+
+def tradeoff_timed(spark, sf):
+    """Quality against compression and measured time, cluster variants included (no SQL form: time)."""
+    d = _docs(spark, sf)
+    s = scoreboard.timed_summaries(d, ["lead-3", "tfidf-top5", "cluster-0.2", "cluster-0.3"])
+    return scoreboard.tradeoff(scoreboard.scoreboard(d, s))
+
+
+QUERIES.update({"tradeoff_timed": tradeoff_timed, "subword_limit": subword_limit, "factual_pieces": factual_pieces})

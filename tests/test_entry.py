@@ -12,7 +12,7 @@ def test_entry_runs(spark):
 def test_oracle_keys_subset_of_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
     rows_only = {q for q in set(E.queries()) - set(E.oracle_sql()) if not q.startswith("op") and q != "pipeline"}
-    assert rows_only == {"cluster_summary", "classify_batch", "classify_report", "scoreboard_variants", "training_rounds"}
+    assert rows_only == {"cluster_summary", "classify_batch", "classify_report", "scoreboard_variants", "training_rounds", "tradeoff_timed"}
 
 
 def test_entry_needs_no_jars_and_builds_oracles_late():
