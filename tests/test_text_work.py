@@ -20,6 +20,15 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_share_cuts_its_segments_once(spark):
+    d = docs(spark)
+    share = segment.share_of(T.clause_split("text"))
+    assert optimized(d.select(share.alias("s"))).count("split(") == 1
+    got = [r["s"] for r in d.orderBy("doc_id").select(share.alias("s")).collect()]
+    want = [r["factual_share"] for r in segment.factual_share(d).orderBy("doc_id").collect()]
+    assert got == want and got[0] > 0 and got[2] == 0.0
+
+
 def test_buckets_are_worked_out_once_and_vectors_count_them(spark):
     d = docs(spark)
     assert "filter(" not in optimized(summarize.cluster_summary(d))
@@ -29,3 +38,27 @@ def test_buckets_are_worked_out_once_and_vectors_count_them(spark):
         for w in words:
             want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
         assert r["vec"] == want
+
+
+def by_hand(tokens, stop, n_max, top_n):
+    bucket = [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64 for t in tokens]
+    whole = [bucket.count(i) for i in range(64)]
+    kept = [(t, b) for t, b in zip(tokens, bucket) if t not in stop]
+    seen = {}
+    for n in range(1, n_max + 1):
+        for i in range(len(kept) - n + 1):
+            run = kept[i:i + n]
+            own = [[b for _, b in run].count(j) for j in range(64)]
+            dot = sum(x * y for x, y in zip(own, whole))
+            seen[" ".join(t for t, _ in run)] = round(dot / (math.sqrt(sum(x * x for x in own)) * math.sqrt(sum(x * x for x in whole))), 6)
+    return sorted(((-s, k) for k, s in seen.items()))[:top_n]
+
+
+def test_keywords_are_scored_in_batches_as_by_hand(spark):
+    d = docs(spark)
+    for n_max, top_n, stop in ((1, 3, ["o"]), (3, 7, ["o", "um"]), (2, 100, [])):
+        rows = keywords.embed_keyword_rows(d, ["doc_id"], stop, n_max, top_n)
+        assert "ArrowEvalPython" in optimized(rows)
+        got = {r["doc_id"]: [(x["s"], x["k"]) for x in r["keywords"] or []] for r in rows.collect()}
+        tokens = d.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).collect()
+        assert got == {r["doc_id"]: by_hand(r["t"], stop, n_max, top_n) for r in tokens}
