@@ -62,3 +62,21 @@ def test_keywords_are_scored_in_batches_as_by_hand(spark):
         got = {r["doc_id"]: [(x["s"], x["k"]) for x in r["keywords"] or []] for r in rows.collect()}
         tokens = d.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).collect()
         assert got == {r["doc_id"]: by_hand(r["t"], stop, n_max, top_n) for r in tokens}
+
+
+def test_only_a_summarys_terms_meet_the_original(spark):
+    orig = spark.createDataFrame([(1, "gato preto dorme gato"), (2, "o o"), (3, "rato come"), (4, "gato"), (None, "gato")], "doc_id long, original string")
+    summ = spark.createDataFrame([("a", 1, "gato dorme"), ("b", 1, "gato preto dorme gato"), ("a", 2, "o"), ("a", 3, ""), ("a", 4, "rato novo"),
+                                  ("b", 3, None), ("a", None, "gato"), ("b", 5, "gato")], "modelo string, doc_id long, summary string")
+    out = tfidf.doc_summary_cosine(orig, summ, ["o"])
+    assert "FullOuter" not in optimized(out)
+    got = {(r["modelo"], r["doc_id"]): r["cosine"] for r in out.collect()}
+    pairs = summ.join(orig, "doc_id", "left")
+    want = {(r["modelo"], r["doc_id"]): r["cosine"] for r in tfidf.pair_cosine(pairs, ["modelo", "doc_id"], "original", "summary", ["o"]).collect()}
+    assert got == want and got["b", 1] == 1.0 and got["a", 3] == 0.0 and got["a", None] is None
+
+
+def test_equal_keys_of_summaries_each_get_a_row(spark):
+    orig = spark.createDataFrame([(1, "gato preto")], "doc_id long, original string")
+    summ = spark.createDataFrame([("a", 1, "gato"), ("a", 1, "gato")], "modelo string, doc_id long, summary string")
+    assert tfidf.doc_summary_cosine(orig, summ, []).count() == 2
