@@ -80,3 +80,17 @@ def test_equal_keys_of_summaries_each_get_a_row(spark):
     orig = spark.createDataFrame([(1, "gato preto")], "doc_id long, original string")
     summ = spark.createDataFrame([("a", 1, "gato"), ("a", 1, "gato")], "modelo string, doc_id long, summary string")
     assert tfidf.doc_summary_cosine(orig, summ, []).count() == 2
+
+
+def test_chunks_join_sentences_without_a_search_for_white_space(spark):
+    text = "  " + " ".join(f"Frase {i} do texto." for i in range(40)) + "\n\t"
+    d = docs(spark, [(1, text)])
+    step = optimized(d.select(F.explode(T.chunks("text", 50)))).split("aggregate(")[1].split("lambdafunction(")[1]
+    assert "regexp_replace" not in step
+    want, b = [], ""
+    for s in [f"Frase {i} do texto." for i in range(40)]:
+        if len(b) + len(s) + 1 <= 50:
+            b = (b + " " + s).strip()
+        else:
+            want, b = want + [b], s
+    assert d.select(T.chunks("text", 50).alias("c")).first()["c"] == want + [b]
