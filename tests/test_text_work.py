@@ -94,3 +94,15 @@ def test_chunks_join_sentences_without_a_search_for_white_space(spark):
         else:
             want, b = want + [b], s
     assert d.select(T.chunks("text", 50).alias("c")).first()["c"] == want + [b]
+
+
+def test_tokens_are_sorted_without_a_comparing_lambda(spark):
+    d = docs(spark)
+    sents = tagger.rule_tagged_sentences(tagger.sentence_words(d), ["o"])
+    uni, bi = tagger.train_sentences(sents)
+    tagged = tagger.tag_sentences(tagger.token_table(d), uni, bi, ["doc_id", "sid"])
+    cut = subwords.limit_pieces(d, subwords.affix_vocabulary(d.where("doc_id = 1")), 5)
+    assert "array_sort" not in optimized(tagged).split("aggregate(_toks")[-1].split("Join")[0]
+    assert "sort_array" in optimized(tagged) and "sort_array" in optimized(cut)
+    first = {(r["doc_id"], r["sid"]): [t["word"] for t in r["_toks"]] for r in tagged.collect()}
+    assert first[1, 0] == ["O", "gato", "preto", "viu", "2", "ratos", "."]
