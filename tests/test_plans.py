@@ -64,3 +64,9 @@ def test_the_window_check_sees_a_window_over_a_whole_table(spark):
     d = spark.range(5)
     assert whole_table_windows(d.select(F.row_number().over(Window.orderBy("id"))))
     assert not whole_table_windows(d.select(F.row_number().over(Window.partitionBy("id").orderBy("id"))))
+
+
+def test_similarity_pieces_count_terms_once(spark):
+    """Cosines of neighbouring sentences come from one table of term counts, not from a join of it with itself."""
+    p = E.QUERIES["factual_pieces"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Generate explode(regexp_extract_all" in ln for ln in p.splitlines()) == 1
