@@ -70,3 +70,9 @@ def test_similarity_pieces_count_terms_once(spark):
     """Cosines of neighbouring sentences come from one table of term counts, not from a join of it with itself."""
     p = E.QUERIES["factual_pieces"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Generate explode(regexp_extract_all" in ln for ln in p.splitlines()) == 1
+
+
+def test_news_record_makes_summaries_once(spark):
+    """Three columns come from a summary; the plan behind them reads it and cuts no sentences again."""
+    p = E.QUERIES["news_record"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in p
