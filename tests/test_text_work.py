@@ -106,3 +106,69 @@ def test_tokens_are_sorted_without_a_comparing_lambda(spark):
     assert "sort_array" in optimized(tagged) and "sort_array" in optimized(cut)
     first = {(r["doc_id"], r["sid"]): [t["word"] for t in r["_toks"]] for r in tagged.collect()}
     assert first[1, 0] == ["O", "gato", "preto", "viu", "2", "ratos", "."]
+
+
+# ------------------------------------------------------------- work in batches instead of exchanges of tokens
+ODD = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" + (". " if j % 5 == 0 else "") for j in range(i % 40))) for i in range(120)]
+ODD += [(5, "x y. w1 w2."), (5, "w1 w2 w3. w4 w1. x"), (7, ODD[7][1]), (None, "abc. def"), (None, "w1 w2"), (400, ""), (401, None), (402, "a. b. c"),
+        (403, "São Paulo. ÁGUA água. são"), (404, " x\u2003w1 w2.\u3000w1 w3.\x85")]
+
+
+def test_summaries_are_those_of_the_centrality_table(spark):
+    d = docs(spark, ODD).repartition(5)
+    top = tfidf.top_sentences(tfidf.sentence_centrality(d), 5).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("rk", "sentence"))).alias("p"), F.max(F.col("has_tok").cast("int")).alias("t"))
+    want = {(r.doc_id, " ".join(x.sentence for x in r.p) if r.t else "") for r in top.collect()}
+    got = [(r.doc_id, r.summary) for r in tfidf.tfidf_summary(d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = optimized(tfidf.tfidf_summary(d))
+    assert "Window" not in plan and "Generate" not in plan      # no row per token
+
+
+def test_cosines_of_many_summaries_are_those_of_pairs_and_cost_no_row_per_token(spark):
+    rows = [(i, t) for i, t in ODD if i is not None and i not in (5, 7)]
+    d = docs(spark, rows).withColumnRenamed("text", "original")
+    s = spark.createDataFrame([(m, i, (t or "")[k:k + 60] if t is not None else None) for i, t in rows for m, k in (("a", 0), ("b", 9))], "modelo string, doc_id long, summary string")
+    want = tfidf.pair_cosine(s.join(d, "doc_id"), ["modelo", "doc_id"], "original", "summary", ["w3"])
+    got = tfidf.doc_summary_cosine(d, s, ["w3"])
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    none = spark.createDataFrame([("a", None, "w1"), (None, 3, "w1"), ("a", 999, "w1"), ("a", 999, "w1"), ("b", 999, "")], s.schema)
+    got = sorted(map(repr, map(tuple, tfidf.doc_summary_cosine(d, none, []).collect())))
+    assert got == sorted(map(repr, [("a", None, None), (None, 3, None), ("a", 999, 0.0), ("a", 999, 0.0), ("b", 999, None)]))
+    assert "explode(regexp_extract_all" not in optimized(got_plan := tfidf.doc_summary_cosine(d, s, ["w3"])) and got_plan.columns == ["modelo", "doc_id", "cosine"]
+
+
+def test_batches_of_any_size_give_the_same(spark, monkeypatch):
+    import pyarrow as pa
+    rows = [[[f"w{(i * j) % 7}" for j in range(n)] for n in range(i % 6)] for i in range(50)] + [[], [[]], None]
+    tokens, sizes = pa.array(rows, pa.list_(pa.list_(pa.string()))), pa.array([[len(r or [])] for r in rows], pa.list_(pa.int32()))
+    flat = pa.array([sum(r, []) if r is not None else None for r in rows], pa.list_(pa.string()))
+    ones = pa.array([[2] * len(r or []) for r in rows], pa.list_(pa.int64()))
+
+    def found():
+        return (tfidf._central(2)(tokens, sizes).to_pylist(), keywords._best_candidates(["w1"], 1, 3, 64)(flat).to_pylist(),
+                tfidf._pair_cosines(["w2"])(flat, tokens, ones).to_pylist())
+    whole = found()
+    assert [len(x) for x in whole] == [len(rows)] * 3
+    for most in (1, 10):
+        monkeypatch.setattr(tfidf.token_slices, "__defaults__", (most,))
+        assert found() == whole
+
+
+def test_the_clause_pattern_asks_for_the_first_letter_once():
+    import re
+
+    from factlake.functions import vocab
+    plain = re.compile(r"\b" + vocab.connective_group() + r"\b|[.!?]")
+    fast = re.compile(vocab.clause_pattern_java().replace("(?U)", ""))
+    assert fast.pattern != plain.pattern
+    words = vocab.CONNECTIVES + ["logo que", "não", "x", "ou.ou", "quequer", "à", "às", "Se", "se1", "é", "tal. qual", "!"]
+    text = "; ".join(f"{a} {b}" for a in words for b in words)
+    assert [(m.span(), m.group(1)) for m in fast.finditer(text)] == [(m.span(), m.group(1)) for m in plain.finditer(text)]
+
+
+def test_trimming_by_a_set_equals_trimming_by_a_pattern(spark):
+    rows = [(i, f"{a}x{b}y{a}") for i, (a, b) in enumerate([("", ""), (T.WS_CHARS, T.WS_CHARS), ("\u200b", " "), ("é \u3000", "\n")])] + [(9, T.WS_CHARS), (10, ""), (11, None)]
+    rows += [(12, " " + "ab " * 40_000)]
+    r = docs(spark, rows).select(T._strip_named(F.col("text")).alias("a"), T.strip("text").alias("b")).collect()
+    assert all(x.a == x.b for x in r) and r[1].a.startswith("x") and r[1].a.endswith("y")
