@@ -146,15 +146,25 @@ def test_batches_of_any_size_give_the_same(spark, monkeypatch):
     ones = pa.array([[2] * len(r or []) for r in rows], pa.list_(pa.int64()))
 
     def found():
+        picked = summarize._cluster_group("k", 0.3, None, None)(tokens, pa.array([[9] * len(r or []) for r in rows], pa.list_(pa.int32())))
         return (tfidf._central(2)(tokens, sizes).to_pylist(), keywords._best_candidates(["w1"], 1, 3, 64)(flat).to_pylist(),
-                tfidf._pair_cosines(["w2"])(flat, tokens, ones).to_pylist())
+                tfidf._pair_cosines(["w2"])(flat, tokens, ones).to_pylist(), [(p["at"], p["n"], p["k"]) for p in picked.to_pylist()])
     whole = found()
-    assert [len(x) for x in whole] == [len(rows)] * 3
+    assert [len(x) for x in whole] == [len(rows)] * 4
     for most in (1, 10):
         monkeypatch.setattr(tfidf.token_slices, "__defaults__", (most,))
         assert found() == whole
 
 
+def test_documents_are_clustered_without_a_data_frame_each(spark):
+    d = docs(spark, ODD)
+    plan = optimized(summarize.cluster_summary(d))
+    assert "FlatMapGroupsInPandas" not in plan and "ArrowEvalPython" in plan
+    got = {r.doc_id: r for r in summarize.cluster_summary(d, 0.5, 4, 30).collect()}
+    assert len(got) == len({i for i, _ in ODD}) and got[400].n_sentences == 0 and got[400].k == 0 and got[400].summary == ""
+    assert got[402].n_sentences == 0 and got[403].n_sentences == 2 and got[403].summary == "São Paulo." and got[5].n_sentences > 2
+
+
 def test_the_clause_pattern_asks_for_the_first_letter_once():
     import re
 
