@@ -122,3 +122,40 @@ def test_keyword_bundle_uses_the_text_without_noun_phrases(spark):
     assert got[1].noun_phrases == ["casa bela"] and got[1].tfidf_words == ["bela", "casa"]
     assert got[2].noun_phrases == [] and got[2].tfidf_words == ["corre", "muito"] and got[2].frequent_words == ["corre", "muito"]
     assert len(got[1].embedding_words) == 4 and got[3].tfidf_words == [] and got[3].embedding_words == []
+
+
+# ------------------------------------------------------------------ whole texts
+def _odd_texts(spark):
+    rows = [(i, " ".join(("A casa", "casa", "Bela casa", "bela", "fazer", "mente", "9", "!", "Casa.")[(i * 5 + j * j) % 9] for j in range(i % 30))) for i in range(60)]
+    rows += [(5, "casa A. Bela fazer"), (5, "x"), (7, rows[7][1]), (None, "Casa bela."), (None, "A casa"), (90, ""), (91, None), (92, " . "), (93, "casa " * 3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def _models(spark, d):
+    known = tagger.rule_tagged_sentences(tagger.sentence_words(d), ["a"])
+    yield tagger.train_sentences(known)
+    yield tagger.train_sentences(known.limit(4))            # most words are not in the model
+    uni = spark.createDataFrame([("casa", "N", 3), ("Bela", None, 1)], "word string, tag string, n long")
+    yield uni, spark.createDataFrame([("N", "casa", "V", 1), ("V", "casa", "N", 2), (tagger.START, "casa", "X", 1), ("N", "bela", "ADJ", 1)], "prev_tag string, word string, tag string, n long")
+    yield uni.limit(0), spark.createDataFrame([], "prev_tag string, word string, tag string, n long")
+
+
+def test_whole_texts_are_tagged_as_their_sentences_are(spark):
+    d = _odd_texts(spark)
+    for uni, bi in _models(spark, d):
+        folded = tagger.tag_sentences(tagger.token_table(d), uni, bi, ["doc_id", "sid"]).collect()
+        want = sorted(repr((r.doc_id, r.sid, [x.word for x in r._toks], r._tags)) for r in folded)
+        whole = tagger.tag_texts(d, uni, bi)
+        assert sorted(repr((r.doc_id, r.sid, r.words, r.tags)) for r in whole.collect()) == want != []
+        assert "Generate explode" not in whole._jdf.queryExecution().optimizedPlan().toString()     # no row per token
+
+
+def test_two_words_with_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    d = _odd_texts(spark)
+    uni, bi = next(_models(spark, d))
+    want = sorted(map(repr, tagger.tag_texts(d, uni, bi).collect()))
+    plain = tagger._hash
+    monkeypatch.setattr(tagger, "_hash", lambda w, seed: plain(w, seed) if seed > 1 else F.pmod(plain(w, seed), F.lit(2)))
+    assert tagger.model_file(tagger.model_rows(uni, bi))[1] == 2
+    assert sorted(map(repr, tagger.tag_texts(d, uni, bi).collect())) == want
