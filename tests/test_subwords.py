@@ -84,3 +84,16 @@ def test_pieces_between_breaks(spark):
     for i, texts in want.items():
         factual = [t for t in texts if any(c.isdigit() for c in t)]
         assert kept[i] == (len(texts), len(factual), " | ".join(factual))
+
+
+def test_a_held_vocabulary_gives_the_same_as_the_join(spark):
+    rows = [(i, " ".join(("casas", "Casa", "xcasa", "ção", "a", "#", "casacasa", "é", "q")[(i * 5 + j * j) % 9] for j in range(i % 30))) for i in range(50)]
+    rows += [(5, "casa a. xx q"), (5, "é"), (7, rows[7][1]), (None, "casa"), (None, "a q"), (90, ""), (91, None), (92, "a " * 3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for pieces in (["casa", "ca", "##s", "##sa", "##a", "a", "x", "##c", "##ca", "##casa", "çã", "##o", "é", "#"], ["a"], []):
+        v = spark.createDataFrame([(p,) for p in pieces + ["", None]], "piece string")
+        for limit in (1, 4, 128):
+            want = subwords.limit_pieces(d, v, limit, held=-1)
+            got = subwords.limit_pieces(d, v, limit)
+            assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()       # no row per token
