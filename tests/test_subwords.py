@@ -94,6 +94,13 @@ def test_a_held_vocabulary_gives_the_same_as_the_join(spark):
         v = spark.createDataFrame([(p,) for p in pieces + ["", None]], "piece string")
         for limit in (1, 4, 128):
             want = subwords.limit_pieces(d, v, limit, held=-1)
-            got = subwords.limit_pieces(d, v, limit)
+            got = subwords.limit_pieces(d, v, limit, held=subwords.HELD)
             assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()       # no row per token
+
+
+def test_the_query_moves_no_token(spark):
+    from conftest import SF001
+    from factlake.plans import queries
+    assert "regexp_extract_all" not in "".join(
+        ln for ln in queries.subword_limit(spark, SF001)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in ln)
